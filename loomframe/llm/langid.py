@@ -81,13 +81,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
 def mixture(counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the given languages by expectation-maximisation, and the log likelihood."""
     top = logp.max(1)
-    p = np.exp(logp - top[:, None])
-    share = np.full(p.shape[1], 1 / p.shape[1])
+    p = np.ascontiguousarray(np.exp(logp - top[:, None]).T)
+    share = np.full(len(p), 1 / len(p))
     total = counts.sum()
     for _ in range(ROUNDS):
-        r = p * share
-        share = (counts / r.sum(1)) @ r / total
-    return share, float(counts @ (np.log((p @ share)) + top))
+        share = share * (p @ (counts / (share @ p))) / total
+    return share, float(counts @ (np.log(share @ p) + top))
 
 
 def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray]:
