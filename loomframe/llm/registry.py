@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomframe.llm.bpe import op3_byte_bpe
 from loomframe.llm.langid import op10_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op10_language_id": op10_language_id,
 }
 
