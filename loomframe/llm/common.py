@@ -73,6 +73,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """What Spark's xxhash64 gives for a long, as signed integers."""
+    # fixed values of the algorithm
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def left(v, n):
+        return (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+
+    with np.errstate(over="ignore"):
+        h = (np.uint64(seed) + p5 + np.uint64(8)) ^ (left(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = left(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 class Lexicon(dict):
     """word -> 64-bit hash, filled on demand and emptied when it holds too many words."""
 

@@ -11,12 +11,14 @@ from loomframe.llm.langid import op10_language_id
 from loomframe.llm.minhash import op7_minhash
 from loomframe.llm.pii import op8_pii
 from loomframe.llm.store import op2_content_store
+from loomframe.llm.substring import op5_substring
 from loomframe.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_store": op2_content_store,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_substring": op5_substring,
     "op7_minhash": op7_minhash,
     "op8_pii": op8_pii,
     "op10_language_id": op10_language_id,
