@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomframe.llm.bpe import op3_byte_bpe
+from loomframe.llm.embeddings import op9_embedding
 from loomframe.llm.langid import op10_language_id
 from loomframe.llm.minhash import op7_minhash
 from loomframe.llm.pii import op8_pii
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring": op5_substring,
     "op7_minhash": op7_minhash,
     "op8_pii": op8_pii,
+    "op9_embedding": op9_embedding,
     "op10_language_id": op10_language_id,
 }
 
