@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomframe.llm.bpe import op3_byte_bpe
+from loomframe.llm.decontaminate import op1_decontaminate
 from loomframe.llm.embeddings import op9_embedding
 from loomframe.llm.langid import op10_language_id
 from loomframe.llm.minhash import op7_minhash
@@ -16,6 +17,7 @@ from loomframe.llm.substring import op5_substring
 from loomframe.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_content_store": op2_content_store,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
