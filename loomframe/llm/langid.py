@@ -107,8 +107,8 @@ def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray]:
     return [chosen[i] for i in order], share[order]
 
 
-def identify(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and languages (name and proportion of each chosen language) to doc_id and held_out.
+def identify(docs: DataFrame, model: tuple, text: str = "text", keep: bool = False) -> DataFrame:
+    """Adds lang_pred, score and languages (name and proportion of each chosen language) to the other columns, and to the text if it is kept.
 
     A null text, one without letters, or a model without languages gives
     `und`, score 0 and no languages. Each row is judged alone, repeated rows alike.
@@ -116,6 +116,9 @@ def identify(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     """
     names, slots, logp = model
     sent = docs.sparkSession.sparkContext.broadcast((names, slots, logp.astype(np.float32)))
+    at = docs.columns.index(text)
+    kept = [k for k in range(len(docs.columns)) if keep or k != at]
+    rest = [docs.columns[k] for k in kept]
 
     def run(batches):
         names, slots, logp = sent.value
@@ -124,7 +127,7 @@ def identify(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
         logp = logp.astype(float)
         for batch in batches:
             pred, score, kinds = [], [], []
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            for t in batch.column(at).to_pylist():
                 g = trigrams(t) if t else ()
                 if not len(g) or not names:
                     pred.append(UNKNOWN), score.append(0.0), kinds.append([])
@@ -132,12 +135,10 @@ def identify(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
                 seen, n = np.unique(where[g], return_counts=True)
                 who, share = infer(n.astype(float), logp[seen])
                 pred.append(names[who[0]]), score.append(min(1.0, float(share[0]))), kinds.append([{"lang": names[k], "share": float(s)} for k, s in zip(who, share, strict=True)])
-            rest = [c for c in batch.schema.names if c != "text"]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kinds, kind)], [*rest, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kinds, kind)], [*rest, "lang_pred", "score", "languages"])
 
-    rest = [f"`{c}` {k}" for c, k in docs.dtypes if c != text]
-    return docs.select(*[c for c in docs.columns if c != text], F.col(text).alias("text")).mapInArrow(run, ", ".join([*rest, "lang_pred string, score double, languages array<struct<lang:string,share:double>>"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{docs.columns[k]}` {docs.dtypes[k][1]}" for k in kept), "lang_pred string, score double, languages array<struct<lang:string,share:double>>"]))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,5 +150,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: drops documents for which no language can be told (no letter at all); learns from all rows."""
     model = fit(docs)
-    tagged = identify(docs.select(*docs.columns, F.col("text").alias("__body")), model, "__body")
-    return tagged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    plain = docs.select(*[F.col(c).alias(f"__{c}") for c in docs.columns])
+    tagged = identify(plain, model, "__text", keep=True)
+    return tagged.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])

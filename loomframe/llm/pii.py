@@ -187,7 +187,7 @@ def sanitise(docs: DataFrame, cues: dict[str, dict[str, float]], text: str = "te
     """Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and sanitised to the other columns, in place of the text.
 
     Entities are replaced by their kind in angle brackets, terms by <term>; overlapping spans by
-    that of the first. Null text is empty. Every row is judged alone and whole.
+    that of the first. Null text has no spans and stays null. Every row is judged alone and whole.
     """
     keep = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(cues)
@@ -198,13 +198,13 @@ def sanitise(docs: DataFrame, cues: dict[str, dict[str, float]], text: str = "te
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 base, spans = all_spans(t or "", sent.value)
                 n = Counter(k for k, _, _ in base)
-                for c, v in zip(columns, [*(n[k] for k in KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(spans), replaced(t or "", spans)], strict=True):
+                for c, v in zip(columns, [*(n[k] for k in KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(spans), None if t is None else replaced(t, spans)], strict=True):
                     c.append(v)
             kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns, kinds)], [*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised"])
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes if c != text), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, sanitised string"])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__own")).mapInArrow(run, schema)
 
 
 def replaced(text: str, spans: list) -> str:
@@ -223,5 +223,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitised_text(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the text of every document without personal data; a null text stays null."""
-    out = sanitise(docs.select(*docs.columns, F.col("text").alias("__body")), disclosing(docs), "__body")
-    return out.select(*[F.when(F.col("text").isNotNull(), F.col("sanitised")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    plain = docs.select(*[F.col(c).alias(f"__{c}") for c in docs.columns])
+    out = sanitise(plain, disclosing(docs), "__text")
+    return out.select(*[F.col("sanitised" if c == "text" else f"__{c}").alias(c) for c in docs.columns])
