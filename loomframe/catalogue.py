@@ -1,11 +1,206 @@
-"""The queries of the library itself."""
+"""The queries of the library itself: operators bound to relations."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from loomframe.operators import kernels, metrics, packets, picks, relational
+from loomframe.plans.oracles import ORACLE_SQL as _SQL
+from loomframe.plans.relations import relation
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FLAGSHIP = "pareto_smallest_bytes"
+#: The moment at which requests are judged, and the device that asks.
+NOW, DEVICE = 1_706_000_000, 1
+PATTERNS = ("square", "ramp", "bars", "checker")
+
+
+def over(f: Callable[..., DataFrame], *names: str, **options) -> Query:
+    """An operator over relations."""
+    return lambda spark, sf_dir: f(*[relation(spark, sf_dir, n) for n in names], **options)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def each_pattern(measure: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        clips = [(p, metrics.clip(spark, p, 64, 64, 4)) for p in PATTERNS]
+        return reduce(DataFrame.unionByName, [measure(c, metrics.quantised(c, 16)).select(F.lit(p).alias("pattern"), "*") for p, c in clips])
+
+    return run
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hourly seek on every track."""
+    hours = spark.range(720).select(F.col("id").alias("h"))
+    return relation(spark, sf_dir, "tracks").crossJoin(F.broadcast(hours)).select("track_id", (F.col("h") * 3600 * F.col("timescale")).alias("target"))
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.quantise(kernels.dct(spark, relation(spark, sf_dir, "blocks")), 16)
+
+
+def top(table: str, time: str, key: str, *columns: str) -> Query:
+    return lambda spark, sf_dir: relational.top_list(relation(spark, sf_dir, table), time, key, columns)
+
+
+def top_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relational.top_list(relation(spark, sf_dir, "verification_requests"), "created", "request_id", ("request_id", "license_id", "created", "expires", "approved", "record_state"))
+    return rows.withColumn("label", relational.request_label(NOW))
+
+
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("licenses", "license_keys", "installations", "verification_requests", "audit_events")
+    return relational.soft_delete({n: relation(spark, sf_dir, n).select("license_id", "record_state") for n in names}, F.col("license_id") % 7 == 0)
+
+
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = relation(spark, sf_dir, "audit_events").where("event_id % 10 = 3").select("license_id", (F.col("event_id") % 6).alias("device"), F.col("created").alias("seen"))
+    return relational.upsert_installations(relation(spark, sf_dir, "installations"), new)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("case p_partkey % 4 when 0 then ' Editor, BATCH ,x' when 1 then 'import,import' when 2 then p_name else 'export, basic' end")
+    parts = read(spark, sf_dir, "part").withColumn("raw", raw)
+    return parts.select(F.col("p_partkey").alias("part"), relational.normalise_features(parts, "raw").alias("features"))
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = relation(spark, sf_dir, "packets")
+    return packets.missing(p, p.where("sequence % 5 = 0").select("track_id", (F.col("sequence") + 3).alias("sequence")))
+
+
+def square(spark: SparkSession) -> DataFrame:
+    return kernels.motion(metrics.clip(spark, "square", 64, 64, 4), 2, 64, 64)
+
+
+def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda path: F.coalesce(F.get_json_object("props", path).cast("long"), F.lit(0))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k("$.k")).alias("k"), F.sum(k("$.missing")).alias("missing"))
+
+
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as JSON documents, without null fields, read back strictly by their schema."""
+    doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(None).cast("string").alias("note")))
+    back = F.from_json("doc", "id long, status string, price double, note string", {"mode": "FAILFAST"})
+    return read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(doc.alias("doc")).select(back.alias("r")).select("r.id", "r.status", "r.price")
+
+
+def label_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = ~F.isnan("p_retailprice") & (F.abs("p_retailprice") < float("inf"))
+    return read(spark, sf_dir, "part").agg(F.count_if(F.contains("p_name", F.lit("ring"))).alias("holds"), F.count_if(F.startswith("p_type", F.lit("ECONOMY"))).alias("starts"), F.count_if(F.lower("p_brand") == "brand#2").alias("same"), F.count_if(finite).alias("finite"), F.count_if(F.regexp_extract("p_name", "([a-z]+)$", 1) == "ring").alias("routed"))
+
+
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return read(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("n", F.row_number().over(w)).where("n <= 3").select("conv_id", "turn", "role")
+
+
+def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = F.col("url")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("digest"), F.concat(F.rtrim("url", F.lit("/")), F.lit("/api/v1")).alias("endpoint"), escaped.alias("escaped"), F.contains("url", F.lit("example")).alias("probed"))
+
+
+def integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zig = F.expr("case when user_id - event_id >= 0 then 2 * (user_id - event_id) else -2 * (user_id - event_id) - 1 end")
+    size = F.when(F.col("event_id") < 128, 1).when(F.col("event_id") < 16384, 2).when(F.col("event_id") < 2097152, 3).otherwise(4)
+    return read(spark, sf_dir, "events").select("event_id", zig.alias("zigzag"), F.expr("event_id ^ user_id").alias("mixed"), F.expr("shiftleft(event_id, 3) & 255").alias("shifted"), size.cast("long").alias("varint_bytes"), F.expr("event_id * 30000 div 1001").alias("fps"))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"bytes_cap": "bytes > 90000", "qp_high": "qp > 28", "low_quality": "ssim < 0.95", "bad_pair": "entropy_model = 'context' and inter_syntax = 'compact'"}
+    codes = F.concat_ws(",", *[F.when(F.expr(e), n) for n, e in rules.items()])
+    return relation(spark, sf_dir, "sweep_rows").where("bytes > 90000 or qp > 28 or ssim < 0.95").select("clip", "line", "part", "bytes", codes.alias("codes"))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.sum(F.when(F.col("ok"), F.col("bytes")))
+    return relation(spark, sf_dir, "sweep_rows").groupBy("inter_partition").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("ok")).alias("n_ok"), F.round(F.sum("bytes") / F.greatest(F.count_if(F.expr("ok")), F.lit(1)), 6).alias("bytes_per_ok"), F.round(F.when(good > 0, 100 * (F.sum("bytes") - good) / good), 6).alias("savings"))
+
+
+QUERIES: dict[str, Query] = {
+    "pareto_smallest_bytes": over(picks.smallest_at_quality, "sweep_rows", ssim=0.98),
+    "pareto_best_ssim": over(picks.best_under_budget, "sweep_rows", measure="ssim", budget=5000),
+    "pareto_best_psnr": over(picks.best_under_budget, "sweep_rows", measure="psnr", budget=5000),
+    "pareto_overall": over(picks.best_overall, "sweep_rows"),
+    "closest_bitrate": over(picks.closest_rate, "sweep_rows", target=20000.0),
+    "sweep_grid": lambda spark, sf_dir: picks.grid(spark),
+    "sweep_grid_quick": lambda spark, sf_dir: picks.grid(spark, 24),
+    "paired_partition_wins": over(picks.paired_wins, "sweep_rows"),
+    "paired_modes_pivot": over(picks.paired_modes, "sweep_rows"),
+    "byte_shares_bottleneck": over(picks.byte_shares, "sweep_rows"),
+    "rdo_pick": over(picks.rdo_pick, "sweep_rows"),
+    "psnr_clip": each_pattern(metrics.clip_psnr),
+    "ssim_clip": each_pattern(lambda a, b: metrics.clip_ssim(a, b, 64, 64)),
+    "snr_audio": over(metrics.snr, "audio", step=64),
+    "autocorr": over(metrics.autocorrelation, "audio", order=8),
+    "bitrate_report": over(metrics.bitrate, "packets", fps=30),
+    "qp_histogram": over(metrics.qp_histogram, "sweep_rows"),
+    "bytes_summary": over(metrics.bytes_summary, "sweep_rows"),
+    "revision_pivot": over(metrics.revisions, "packets"),
+    "license_snapshot_stats": over(relational.snapshot, "licenses", "license_keys", "installations", "verification_requests", "audit_events"),
+    "license_active_keys": over(relational.active_keys, "licenses", "license_keys", "license_features"),
+    "key_lookup": over(relational.key_lookup, "license_keys", "licenses"),
+    "latest_request": over(relational.latest_request, "verification_requests"),
+    "admin_top200_licenses": top("licenses", "created", "license_id", "license_id", "owner", "created", "record_state"),
+    "admin_top200_keys": top("license_keys", "created", "key_id", "key_id", "license_id", "key_value", "created", "record_state"),
+    "admin_top200_installations": top("installations", "last_seen", "installation_id", "installation_id", "license_id", "last_seen", "record_state"),
+    "admin_top200_requests": top_requests,
+    "admin_top200_audits": top("audit_events", "created", "event_id", "event_id", "license_id", "event_type", "payload", "created", "record_state"),
+    "admin_top200_emails": top("email_outbox", "created", "email_id", "email_id", "license_id", "role", "created", "state"),
+    "verify_decision": over(relational.verify, "license_keys", "licenses", "installations", "verification_requests", device=DEVICE, now=NOW),
+    "soft_delete_cascade": cascade,
+    "upsert_installation": upsert,
+    "notification_fold": over(relational.notification_fold, "email_outbox"),
+    "feature_normalise": features,
+    "track_stats": over(packets.track_stats, "packets"),
+    "container_durations": over(packets.durations, "packets", "tracks"),
+    "seek_any": lambda spark, sf_dir: packets.seek(relation(spark, sf_dir, "packets"), targets(spark, sf_dir), False),
+    "seek_keyframe": lambda spark, sf_dir: packets.seek(relation(spark, sf_dir, "packets"), targets(spark, sf_dir), True),
+    "seek_recover_range": lambda spark, sf_dir: packets.recover_range(relation(spark, sf_dir, "packets"), targets(spark, sf_dir)),
+    "cue_blocks": over(packets.cues, "packets"),
+    "packet_offsets": over(packets.offsets, "packets", header=24),
+    "rescale_pts": over(packets.rescale, "packets", to=44100),
+    "pts_accumulate": over(packets.accumulated, "packets"),
+    "gop_order": lambda spark, sf_dir: packets.gop(spark, 240, 12),
+    "display_gaps": gaps,
+    "codec_policy": over(packets.unsupported, "tracks"),
+    "rate_control_fold": over(packets.rate_control, "packets", start=28, low=10, high=44, step=1, target=2000),
+    "block_variance": over(kernels.block_variance, "blocks"),
+    "adaptive_deltas": lambda spark, sf_dir: kernels.adaptive_deltas(kernels.block_variance(relation(spark, sf_dir, "blocks")), 24),
+    "block_activity": lambda spark, sf_dir: kernels.activity(metrics.clip(spark, "bars", 64, 64, 4), 64, 64),
+    "sad_search": lambda spark, sf_dir: square(spark),
+    "mv_predict_delta": lambda spark, sf_dir: kernels.predicted(square(spark)),
+    "dct8": lambda spark, sf_dir: kernels.dct(spark, relation(spark, sf_dir, "blocks")),
+    "quantise": levels,
+    "zigzag_scan": lambda spark, sf_dir: spark.range(64).select(F.expr("id div 8").alias("ky"), F.expr("id % 8").alias("kx")).select("ky", "kx", kernels.zigzag_place().alias("place")),
+    "residual_class": over(kernels.residual_class, "blocks"),
+    "coefficient_cost": lambda spark, sf_dir: kernels.coefficient_cost(levels(spark, sf_dir)),
+    "delta_runs": over(kernels.delta_runs, "blocks"),
+    "rle_modes": over(kernels.run_lengths, "blocks"),
+    "deblock_pass": over(kernels.deblock, "blocks"),
+    "weighted_blend": over(kernels.blend, "blocks", weight=96),
+    "b_blend_pick": over(kernels.blend_pick, "blocks"),
+    "rgb_yuv": over(kernels.luma_chroma, "blocks"),
+    "json_path_default": json_defaults,
+    "report_json_build": json_reports,
+    "label_filters": label_filters,
+    "bounded_recency": recency,
+    "string_helpers": strings,
+    "int_helpers": integers,
+    "validation_flags": flags,
+    "telemetry_rollup": telemetry,
+}
+
+ORACLE_SQL: dict[str, str] = {k: v for k, v in _SQL.items() if k in QUERIES}
