@@ -13,6 +13,7 @@ from loomframe.llm.embeddings import op9_embedding
 from loomframe.llm.langid import op10_language_id
 from loomframe.llm.license_scan import op6_license_scan
 from loomframe.llm.minhash import op7_minhash
+from loomframe.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from loomframe.llm.pii import op8_pii
 from loomframe.llm.store import op2_content_store
 from loomframe.llm.substring import op5_substring
@@ -31,5 +32,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLE_SQL: dict[str, str] = {}
