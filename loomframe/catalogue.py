@@ -81,6 +81,12 @@ def square(spark: SparkSession) -> DataFrame:
     return kernels.motion(metrics.clip(spark, "square", 64, 64, 4), 2, 64, 64)
 
 
+def replaced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = relation(spark, sf_dir, "license_features")
+    new = relation(spark, sf_dir, "licenses").where("license_id % 9 = 0").select("license_id", F.explode(F.array(F.lit("basic"), F.lit("batch"))).alias("feature_name"))
+    return relational.replace_features(old, new)
+
+
 def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = lambda path: F.coalesce(F.get_json_object("props", path).cast("long"), F.lit(0))
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k("$.k")).alias("k"), F.sum(k("$.missing")).alias("missing"))
@@ -201,6 +207,18 @@ QUERIES: dict[str, Query] = {
     "int_helpers": integers,
     "validation_flags": flags,
     "telemetry_rollup": telemetry,
+    "notification_sent_once": over(relational.set_once, "email_outbox", now=NOW),
+    "notification_read": over(relational.read_and_mark, "email_outbox"),
+    "key_switch": lambda spark, sf_dir: relational.switch_keys(relation(spark, sf_dir, "license_keys"), F.col("license_id") % 5 == 0, False),
+    "feature_replace": replaced_features,
+    "playback_license": over(relational.playback_fallback, "playback_requests", "license_keys"),
+    "audit_payloads": over(relational.audit_lines, "audit_events"),
+    "replacement_licenses": over(relational.issue_replacements, "verification_requests", now=NOW),
+    "reference_slots": over(packets.reference_slots, "packets"),
+    "key_neighbours": over(packets.neighbours, "packets"),
+    "codec_playable": over(packets.playable, "tracks"),
+    "primary_rows": over(picks.primary, "sweep_rows", wanted="auto-fast"),
+    "compression_ratios": over(picks.ratios, "sweep_rows", raw=6_144),
 }
 
 ORACLE_SQL: dict[str, str] = {k: v for k, v in _SQL.items() if k in QUERIES}

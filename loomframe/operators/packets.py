@@ -135,3 +135,27 @@ def rate_control(packets: DataFrame, start: int, low: int, high: int, step: int,
     maps = runs.select("track_id", "part", F.size("own").alias("n"), folded.alias("m")).groupBy("track_id").agg(F.sum("n").cast("long").alias("packets"), F.array_sort(F.collect_list(F.struct("part", "m"))).alias("all"))
     final = F.aggregate("all", F.lit(start), lambda qp, x: F.least(x["m"]["h"], F.greatest(x["m"]["l"], qp + x["m"]["a"])))
     return maps.select("track_id", "packets", final.cast("long").alias("qp"))
+
+
+def reference_slots(packets: DataFrame, slots: int = 16) -> DataFrame:
+    """For each packet of a track in order: the packet before it since the last keyframe, that itself included, and how many references are held, at most so many."""
+    order = Window.partitionBy("track_id").orderBy("sequence")
+    group = F.sum(has(KEYFRAME).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own = Window.partitionBy("track_id", "group").orderBy("sequence")
+    g = packets.withColumn("group", group)
+    return g.select("track_id", "sequence", F.lag("sequence").over(own).alias("nearest"), F.least(F.row_number().over(own) - 1, F.lit(slots)).cast("long").alias("held"))
+
+
+def neighbours(packets: DataFrame) -> DataFrame:
+    """The keyframes before and after each packet of a track, not itself."""
+    key = F.when(has(KEYFRAME), F.col("sequence"))
+    w = Window.partitionBy("track_id").orderBy("sequence")
+    before = F.last(key, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(key, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return packets.select("track_id", "sequence", before.alias("before"), after.alias("after"))
+
+
+def playable(tracks: DataFrame) -> DataFrame:
+    """Whether a track's codec may be played without fees, and by the engine itself."""
+    free = F.col("codec").isin("native_video", "native_audio", "pcm", "flac", "opus", "vorbis", "av1", "vp9")
+    return tracks.select("track_id", "codec", free.alias("free"), F.col("codec").isin("native_video", "native_audio").alias("own"))

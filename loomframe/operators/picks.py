@@ -96,3 +96,15 @@ def rdo_pick(rows: DataFrame) -> DataFrame:
     scored = valid(rows).withColumn("e", e).withColumn("pow256", F.expr("case when e >= 0 then shiftleft(256L, e) else shiftright(256L, -e) end")).withColumn("lam", weight)
     cost = F.expr("cast((1 - ssim) * 1000000 + 0.5 as bigint) + lam * greatest(bytes, 0) div 256")
     return first_by(scored.withColumn("cost", cost), F.col("cost"), F.col("line"), F.col("part"), F.col("bytes"), keys=("clip",)).select("clip", "line", "part", "qp", "lam", "cost")
+
+
+def primary(rows: DataFrame, wanted: str) -> DataFrame:
+    """Of each clip block the row that stands for it: the wanted partition if there is one, else the fewest bytes; ties go to the first row."""
+    block = rows.where("ok").withColumn("clips", F.expr("clip div 500"))
+    return first_by(block, F.desc(F.col("inter_partition") == wanted), F.col("bytes"), F.col("clip"), F.col("line"), F.col("part"), keys=("clips",)).select("clips", "clip", "line", "part", "inter_partition", "bytes")
+
+
+def ratios(rows: DataFrame, raw: int) -> DataFrame:
+    """Compression ratio and frames a second of each qp, with guarded divisors."""
+    g = rows.groupBy("qp").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("psnr").alias("s"))
+    return g.select("qp", F.round(F.col("n") * float(raw) / F.greatest("b", F.lit(1)), 6).alias("ratio"), F.round(F.col("n") / F.greatest("s", F.lit(1e-9)), 6).alias("fps"))

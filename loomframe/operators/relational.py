@@ -98,3 +98,43 @@ def normalise_features(raw: DataFrame, column: str) -> Column:
     """A comma list as known features: trimmed, lower case, dashes as underscores, basic always in, sorted, each once."""
     parts = F.transform(F.split(F.lower(F.col(column)), ","), lambda x: F.replace(F.trim(x), F.lit("-"), F.lit("_")))
     return F.array_join(F.array_sort(F.array_union(F.filter(parts, lambda x: x.isin(*FEATURES)), F.array(F.lit("basic")))), ",")
+
+
+def set_once(mails: DataFrame, now: int) -> DataFrame:
+    """Sent times are kept where they are set, and set to now where a mail is past the queue."""
+    sent = F.when(F.col("state") != "queued", F.coalesce(F.when(F.col("created") % 120 == 0, F.col("created")), F.lit(now)))
+    return mails.select("email_id", "state", sent.cast("long").alias("sent_at"))
+
+
+def read_and_mark(mails: DataFrame) -> DataFrame:
+    """The notifications that a reader gets (sent or delivered), oldest first within a licence, with the state that they have afterwards."""
+    w = Window.partitionBy("license_id").orderBy("created", "email_id")
+    return mails.where(F.col("state").isin("sent", "delivered")).select("license_id", "email_id", F.row_number().over(w).cast("long").alias("place"), F.lit("read").alias("state"))
+
+
+def switch_keys(keys: DataFrame, chosen: Column, active: bool) -> DataFrame:
+    """Keys after the chosen ones are switched; deleted keys stay as they are."""
+    return keys.select("key_id", F.when(chosen & (F.col("record_state") != "deleted"), F.lit(active)).otherwise(F.col("active")).alias("active"), "record_state")
+
+
+def replace_features(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Feature sets after those of some licences are replaced: their old rows go, the new ones come, each once."""
+    kept = old.join(new.select("license_id").distinct(), "license_id", "left_anti")
+    return kept.select("license_id", "feature_name").unionByName(new.select("license_id", "feature_name").distinct())
+
+
+def playback_fallback(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """The licence of each playback request: that of the key it names, or else the one it claims."""
+    return requests.join(keys.select(F.col("key_id").alias("request_id"), F.col("license_id").alias("of_key")), "request_id", "left").select("request_id", "codec", F.coalesce("of_key", "license_id").alias("license_id"))
+
+
+def audit_lines(events: DataFrame) -> DataFrame:
+    """Audit rows with a JSON payload; fields that are null are left out of it."""
+    doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.when(F.col("license_id") % 2 == 0, F.col("license_id")).alias("license")))
+    return events.select("event_id", F.length(doc).cast("long").alias("n"), F.get_json_object(doc, "$.type").alias("type"), F.get_json_object(doc, "$.license").cast("long").alias("license"))
+
+
+def issue_replacements(requests: DataFrame, now: int) -> DataFrame:
+    """A new licence for each that has an expired, unapproved request: the newest such request names it."""
+    late = requests.where((F.col("expires") <= now) & F.col("approved").isNull() & (F.col("record_state") == "active"))
+    return late.groupBy("license_id").agg(F.max("request_id").alias("request_id"), F.count(F.lit(1)).alias("n")).select("license_id", F.concat(F.lit("R-"), F.col("license_id").cast("string"), F.lit("-"), F.col("request_id").cast("string")).alias("replacement"), "n")

@@ -146,5 +146,19 @@ SQL = {
     "validation_flags": """select clip, line, part, bytes, concat_ws(',', case when bytes > 90000 then 'bytes_cap' end, case when qp > 28 then 'qp_high' end, case when ssim < 0.95 then 'low_quality' end, case when entropy_model = 'context' and inter_syntax = 'compact' then 'bad_pair' end) as codes from sweep_rows where bytes > 90000 or qp > 28 or ssim < 0.95""",
     "telemetry_rollup": "select inter_partition, count(*) as n, count_if(ok) as n_ok, round(sum(bytes) / greatest(count_if(ok), 1), 6) as bytes_per_ok, round(case when sum(case when ok then bytes end) > 0 then 100 * (sum(bytes) - sum(case when ok then bytes end)) / sum(case when ok then bytes end) end, 6) as savings from sweep_rows group by inter_partition",
 }
+SQL |= {
+    "notification_sent_once": "select email_id, state, case when state <> 'queued' then cast(case when created % 120 = 0 then created else 1706000000 end as bigint) end as sent_at from email_outbox",
+    "notification_read": "select license_id, email_id, row_number() over (partition by license_id order by created, email_id) as place, 'read' as state from email_outbox where state in ('sent', 'delivered')",
+    "key_switch": "select key_id, case when license_id % 5 = 0 and record_state <> 'deleted' then false else active end as active, record_state from license_keys",
+    "feature_replace": "select license_id, feature_name from license_features where license_id not in (select license_id from licenses where license_id % 9 = 0) union all select license_id, unnest(['basic', 'batch']) from licenses where license_id % 9 = 0",
+    "playback_license": "select r.request_id, codec, coalesce(k.license_id, r.license_id) as license_id from playback_requests r left join license_keys k on k.key_id = r.request_id",
+    "audit_payloads": "select event_id, length('{\"type\":\"' || event_type || '\"' || case when license_id % 2 = 0 then ',\"license\":' || license_id else '' end || '}') as n, event_type as type, case when license_id % 2 = 0 then license_id end as license from audit_events",
+    "replacement_licenses": "select license_id, 'R-' || license_id || '-' || max(request_id) as replacement, count(*) as n from verification_requests where expires <= 1706000000 and approved is null and record_state = 'active' group by license_id",
+    "reference_slots": "select track_id, sequence, lag(sequence) over w as nearest, least(row_number() over w - 1, 16) as held from (select *, sum(flags & 1) over (partition by track_id order by sequence) as g from packets) window w as (partition by track_id, g order by sequence)",
+    "key_neighbours": "select track_id, sequence, (select max(k.sequence) from packets k where k.track_id = p.track_id and k.flags & 1 <> 0 and k.sequence < p.sequence) as before, (select min(k.sequence) from packets k where k.track_id = p.track_id and k.flags & 1 <> 0 and k.sequence > p.sequence) as after from packets p",
+    "codec_playable": "select track_id, codec, codec in ('native_video', 'native_audio', 'pcm', 'flac', 'opus', 'vorbis', 'av1', 'vp9') as free, codec in ('native_video', 'native_audio') as own from tracks",
+    "primary_rows": "select clip // 500 as clips, clip, line, part, inter_partition, bytes from sweep_rows where ok qualify row_number() over (partition by clip // 500 order by inter_partition = 'auto-fast' desc, bytes, clip, line, part) = 1",
+    "compression_ratios": "select qp, round(count(*) * 6144.0 / greatest(sum(bytes), 1), 6) as ratio, round(count(*) / greatest(sum(psnr), 1e-9), 6) as fps from sweep_rows group by qp",
+}
 SQL["sweep_grid_quick"] = f"select * from ({SQL['sweep_grid']}) where qp <= 22"
 ORACLE_SQL = {k: oracle(v) for k, v in SQL.items()}
