@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +26,27 @@ from pyspark.sql import functions as F
 from loomframe.llm.bpe import pieces_of
 from loomframe.llm.common import cut, partitions, scratch, table
 
-#: Ids under the rolling hash, least and most ids of a chunk, and the mask: 256 ids between cuts on average.
-SPAN, LEAST, MOST, MASK = 16, 64, 2048, np.uint32(0xFF << 16)
+#: Steps that double the ids under the rolling hash up to 16, least and most ids of a chunk, and the mask: 256 ids between cuts on average.
+SPANS, LEAST, MOST, MASK = (1, 2, 4, 8), 64, 2048, np.uint32(0xFF << 16)
 DIGEST = 16
-REMEMBERED, TOGETHER = 400_000, 4_000_000
+#: Chunks of a generation that a worker remembers, of two; documents whose recipe it remembers; characters encoded together.
+REMEMBERED, RECIPES, TOGETHER = 450_000, 30_000, 4_000_000
+#: Stands for chunks that white space borders, so their text is given whole.
+IRREGULAR = b"-"
+CLOSING = tuple(".,;:!?")
+
+
+def parted(chunk: str) -> list[str]:
+    """A chunk with its blank, cut before and after single line ends and before a closing mark that follows a letter."""
+    lines = chunk.split("\n")
+    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return [f" {chunk}"]
+    out = []
+    for k, line in enumerate(lines):
+        out += ["\n", line] if k else [f" {line}"]
+        if line[-1] in CLOSING and line[-2:-1].isalpha():
+            out[-1:] = [out[-1][:-1], line[-1]]
+    return out
 
 
 class LibraryCoder:
@@ -43,27 +61,60 @@ class LibraryCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks: dict[str, bytes | None] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: set[str]) -> None:
+        """Remembers chunks; those used before the last change of generation are taken over.
+
+        Line ends and a closing mark part a chunk further: the pre-tokenizer splits there too.
+        """
+        own, old = self.chunks, self.before
+        if len(own) + len(new) > REMEMBERED:
+            self.before = old = own
+            self.chunks = own = {}
+        plain: set[str] = set()
+        plan = []
+        for c in new:
+            if c in old:
+                own[c] = old[c]
+            elif not c or c[0].isspace() or c[-1].isspace():
+                own[c] = IRREGULAR
+            elif c.isalpha():
+                plain.add(c)
+            elif c[-1] in CLOSING and c[:-1].isalpha() or "\n" in c:
+                plan.append((c, parts := parted(c)))
+                plain.update([q[1:] for q in parts if q[0] == " " and q[1:] not in own])
+            else:
+                plain.add(c)
+        words = list(plain)
+        own.update(zip(words, self.library([f" {c}" for c in words]), strict=True))
+        rest = list({q for _, parts in plan for q in parts if q[0] != " " and q not in self.inner})
+        if len(self.inner) > REMEMBERED // 4:
+            self.inner = {}
+            rest = list({q for _, parts in plan for q in parts if q[0] != " "})
+        self.inner.update(zip(rest, self.library(rest), strict=True))
+        for c, parts in plan:
+            own[c] = b"".join([own[q[1:]] if q[0] == " " else self.inner[q] for q in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in split)).difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks.clear()
-            new = set().union(*(p[1:] for p in split))
-        good = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        self.chunks.update(dict.fromkeys(new))
-        self.chunks.update(zip(good, self.library([f" {c}" for c in good]), strict=True))
-        out, whole = [], []
-        for k, parts in enumerate(split):
-            got = [self.chunks[p] for p in parts[1:]]
-            regular = None not in got and not (parts[0] and parts[0][-1].isspace())
-            out.append(got if regular else [])
-            whole.append(parts[0] if regular else texts[k])
-        return [b"".join([first, *rest]) for first, rest in zip(self.library(whole), out, strict=True)]
+        got = [list(map(self.chunks.get, parts[1:])) for parts in split]
+        new: set[str] = set()
+        for parts, g in zip(split, got, strict=True):
+            if None in g:
+                new.update([p for p, x in zip(parts[1:], g, strict=True) if x is None])
+        if new:
+            self.learn(new)
+            look = lambda p: self.chunks.get(p) or self.before[p]
+            got = [list(map(look, parts[1:])) if None in g else g for parts, g in zip(split, got, strict=True)]
+        regular = [IRREGULAR not in g and not parts[0][-1:].isspace() for parts, g in zip(split, got, strict=True)]
+        heads = self.library([parts[0] if ok else t for parts, ok, t in zip(split, regular, texts, strict=True)])
+        return [b"".join([head, *g]) if ok else head for head, g, ok in zip(heads, got, regular, strict=True)]
 
     @property
     def vocabulary(self) -> int:
@@ -86,9 +137,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     if not len(ids):
         return []
     g = _gear[ids & 0xFFFF]
-    h = np.zeros(len(ids), np.uint32)
-    for j in range(min(SPAN, len(ids))):
-        h[j:] += g[: len(ids) - j] << np.uint32(j)
+    h = g
+    for j in SPANS:
+        h = h.copy()
+        h[j:] += g[:-j] << np.uint32(j) if j < len(g) else np.uint32(0)
+        g = h
     ends, last = [], 0
     for k in np.flatnonzero((h & MASK) == 0).tolist():
         while k + 1 - last > MOST:
@@ -130,11 +183,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         coder = library_coder(tokenizer)
         kind = "<u2" if coder.vocabulary <= 1 << 16 else "<u4"
         sent: set[bytes] = set()
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in pieces_of(texts, TOGETHER):
                 rows = []
-                for doc_id, packed in zip(batch.column(0).slice(a, b - a).to_pylist(), coder.encode(texts[a:b]), strict=True):
+                named = [digest(t.encode()) for t in texts[a:b]]
+                fresh = {x: t for x, t in zip(named, texts[a:b], strict=True) if x not in known}
+                for x, packed in zip(fresh, coder.encode(list(fresh.values())), strict=True):
                     ids = np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id))
                     ends = cuts(ids)
                     names = []
@@ -144,10 +200,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                         if name not in sent:
                             sent.add(name)
                             rows.append((name, 0, None, end - start, data, None))
-                    rows.append((merkle(names), 1, doc_id, len(ids), b"".join(names), np.diff([0, *ends]).astype("<u4").tobytes()))
+                    known[x] = (merkle(names), len(ids), b"".join(names), np.diff([0, *ends]).astype("<u4").tobytes())
+                for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), named, strict=True):
+                    root, n, names, sizes = known[x]
+                    rows.append((root, 1, doc_id, n, names, sizes))
+                if len(known) > RECIPES:
+                    known.clear()
                 if len(sent) > 1_000_000:
                     sent.clear()  # the shuffle still leaves one copy
-                yield pa.RecordBatch.from_pylist([dict(zip(wide.names, r, strict=True)) for r in rows], wide)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), wide, strict=True)], schema=wide)
 
     def once(batches):
         last = None
