@@ -10,7 +10,9 @@ and posterior exceed thresholds are generalised along with the entities.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -85,6 +87,8 @@ def term(word: str) -> str:
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
     """Kind, start, end, term and entity for each word within reach of an entity that no entity overlaps. A word counts once for each entity."""
     out = []
+    starts = [x for _, x, _ in spans]
+    reach = list(itertools.accumulate((y for _, _, y in spans), max))  # the furthest end so far
     for kind, a, b in spans:
         before = []
         end = a
@@ -103,7 +107,8 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
             if len(after) == REACH:
                 break
         for s, e in before + after:
-            if not any(s < y and x < e for _, x, y in spans) and (t := term(text[s:e])):
+            k = bisect_left(starts, e)  # spans that start before the word's end
+            if not (k and reach[k - 1] > s) and (t := term(text[s:e])):
                 out.append((kind, s, e, t, text[a:b]))
     return out
 
