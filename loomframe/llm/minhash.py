@@ -15,6 +15,7 @@ one in a million for t = 0.85.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,7 +27,7 @@ from loomframe.llm.common import Lexicon, ascii_lower, by_key, mix, scratch, tab
 from loomframe.llm.components import Forest, components
 
 #: Words of a shingle, values of a sketch, values with an inverted list, rows of a block.
-SHINGLE, SKETCH, LISTS, BLOCK = 5, 64, 8, 384
+SHINGLE, SKETCH, LISTS, BLOCK = 5, 64, 8, 512
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _lexicon = Lexicon()
 
@@ -97,16 +98,36 @@ def likely(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray], nb: np.ndar
     return (100 * small >= percent * large) & np.where(whole, 100 * shared >= percent * (small + large - shared), shared >= least)
 
 
+def banded(lists: DataFrame, percent: int) -> DataFrame:
+    """Cuts the inverted lists of over BLOCK documents by size. Adds list (the value and a band) and leaves lists of one document out.
+
+    Documents of a pair are in the same band of sizes or in neighbouring ones, so each band
+    also gets the documents of the band below; a band without own documents is left out.
+    """
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    lists = lists.withColumn("__band", band)
+    counts = lists.groupBy("value", "__band").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("value").agg(F.sum("n").alias("__total"), F.map_from_entries(F.collect_list(F.struct("__band", "n"))).alias("__of")).where("__total > 1")
+    cold = F.col("__total") <= BLOCK
+    each = lists.join(sizes, "value").withColumn("__at", F.explode(F.when(cold, F.array(F.lit(-1))).otherwise(F.array(F.col("__band"), F.col("__band") + 1))))
+    own = F.try_element_at("__of", F.col("__at"))
+    sized = each.withColumn("__n", F.when(cold, F.col("__total")).otherwise(own + F.coalesce(F.try_element_at("__of", F.col("__at") - 1), F.lit(0)))).where("__n is not null")
+    return sized.withColumn("list", F.xxhash64("value", "__at")).drop("__band", "__total", "__of", "__at")
+
+
 def spread(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """Deals the rows of a key that has over BLOCK of them to blocks by a hash of the item, and gives each row to every pair of blocks that its own is in.
+    """Deals the rows of a key, of which __n tells the number, to blocks of about BLOCK by a hash of the item, and gives each row to every pair of blocks that its own is in.
 
-    Adds unit, i and j (the pair's blocks) and block (the row's own). Keys with one row are left out.
+    Adds unit, i and j (the pair's blocks) and block (the row's own).
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    n = F.ceil(F.col("__n") / BLOCK).cast("int")
-    dealt = rows.join(sizes, key).withColumn("__b", n).withColumn("block", F.pmod(F.xxhash64(item, F.lit(3)), F.col("__b")).cast("int"))
+    dealt = rows.withColumn("__b", F.ceil(F.col("__n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(item, F.lit(3)), F.col("__b")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    return each.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).withColumn("unit", F.xxhash64(key, "i", "j"))
+    return each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("unit", F.xxhash64(key, "i", "j")).drop("__b", "__n", "other")
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """Adds the number of rows of a key, and leaves keys with one row out."""
+    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), key)
 
 
 def sides(t: dict, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +161,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
 
     def run(tables):
         for batch in tables:
-            t, each = units(batch, ("value", "i", "j", "block", "doc_id", "n_shingles"), "value")
+            t, each = units(batch, ("list", "i", "j", "block", "doc_id", "n_shingles"), "list")
             sketch = [np.frombuffer(x, "<u4") for x in batch.column("sketch").to_pylist()]
             out = []
             for members in each:
@@ -151,7 +172,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     lists = reps.select("doc_id", "n_shingles", "sketch", F.explode("first").alias("value"))
-    return by_key(spread(lists, "value", "doc_id"), "unit", run, "a long, b long")
+    return by_key(spread(banded(lists, percent).drop("value"), "list", "doc_id"), "unit", run, "a long, b long")
 
 
 def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +181,7 @@ def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     def sets(batches):
         for batch in batches:
             packed = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "component", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["doc_id", "component", "words", "__n"])
 
     def run(tables):
         for batch in tables:
@@ -177,7 +198,7 @@ def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 out += links_of(t["doc_id"], left, right, 100 * shared >= percent * (n[:, None] + m[None] - shared), Forest())
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    full = groups.join(docs, "doc_id").select("doc_id", "component", "text").mapInArrow(sets, "doc_id long, component long, words binary")
+    full = counted(groups, "component").join(docs, "doc_id").select("doc_id", "component", "text", "__n").mapInArrow(sets, "doc_id long, component long, words binary, __n long")
     return by_key(spread(full, "component", "doc_id"), "unit", run, "a long, b long")
 
 
