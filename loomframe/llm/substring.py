@@ -25,7 +25,7 @@ from loomframe.llm.common import Lexicon, by_key, mix, partitions, table, xxhash
 
 WINDOW = 50
 #: Characters of the documents whose hashes are packed together, at least one document.
-TOGETHER = 24_000_000
+TOGETHER = 8_000_000
 PACKED = "bucket int, hash binary, rest binary, size int"
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _lexicon = Lexicon()
@@ -74,7 +74,7 @@ def rows_by_bucket(bucket: np.ndarray, docs: np.ndarray, numbers: np.ndarray, ha
     order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     bucket, docs, numbers = bucket[order], docs[order], numbers[order]
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, int)
-    ends = np.append(edge[1:], len(bucket))
+    ends = np.append(edge[1:], len(bucket)) if len(bucket) else edge
     own = hashes[order].astype(kind) if hashes is not None else None
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array([own[a:b].tobytes() if own is not None else b"" for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array([pack(docs[a:b], numbers[a:b]) for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array((ends - edge).astype(np.int32))], ["bucket", "hash", "rest", "size"])
 
@@ -126,7 +126,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     half = window // 2
-    n = min(4 * partitions(spark), 1 << 15)
+    n = min(2 * partitions(spark), 1 << 15)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
 
