@@ -68,52 +68,56 @@ class LibraryCoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        """Remembers chunks; those used before the last change of generation are taken over.
+    def library_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, all words in one call."""
+        if not words:
+            return []
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(e.word_ids), np.arange(len(words)), "right") * 4
+        packed = np.array(e.ids, "<u4").tobytes()
+        return [packed[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, new: set[str], every: set[str]) -> None:
+        """Remembers the new chunks among all of a call; those used in the generation before are taken over.
 
         Line ends and a closing mark part a chunk further: the pre-tokenizer splits there too.
         """
+        if len(self.chunks) + len(new) > REMEMBERED:
+            self.before, self.chunks, self.inner = self.chunks, {}, {}
+            new = every
         own, old = self.chunks, self.before
-        if len(own) + len(new) > REMEMBERED:
-            self.before = old = own
-            self.chunks = own = {}
-        plain: set[str] = set()
-        plan = []
+        plain, plan = [], []
         for c in new:
             if c in old:
                 own[c] = old[c]
+            elif c.isalpha():
+                plain.append(c)
             elif not c or c[0].isspace() or c[-1].isspace():
                 own[c] = IRREGULAR
-            elif c.isalpha():
-                plain.add(c)
-            elif c[-1] in CLOSING and c[:-1].isalpha() or "\n" in c:
-                plan.append((c, parts := parted(c)))
-                plain.update([q[1:] for q in parts if q[0] == " " and q[1:] not in own])
+            elif "\n" in c:
+                plan.append((c, parted(c)))
+            elif c[-1] in CLOSING and c[:-1].isalpha():
+                plan.append((c, (f" {c[:-1]}", c[-1])))
             else:
-                plain.add(c)
-        words = list(plain)
-        own.update(zip(words, self.library([f" {c}" for c in words]), strict=True))
-        rest = list({q for _, parts in plan for q in parts if q[0] != " " and q not in self.inner})
-        if len(self.inner) > REMEMBERED // 4:
-            self.inner = {}
-            rest = list({q for _, parts in plan for q in parts if q[0] != " "})
-        self.inner.update(zip(rest, self.library(rest), strict=True))
+                plain.append(c)
+        have = set(plain)
+        plain += {q[1:] for _, parts in plan for q in parts if q[0] == " "}.difference(own, have)
+        own.update(zip(plain, self.library_words([f" {c}" for c in plain]), strict=True))
+        rest = list({q for _, parts in plan for q in parts if q[0] != " "}.difference(self.inner))
+        self.inner.update(zip(rest, self.library_words(rest), strict=True))
         for c, parts in plan:
             own[c] = b"".join([own[q[1:]] if q[0] == " " else self.inner[q] for q in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        got = [list(map(self.chunks.get, parts[1:])) for parts in split]
-        new: set[str] = set()
-        for parts, g in zip(split, got, strict=True):
-            if None in g:
-                new.update([p for p, x in zip(parts[1:], g, strict=True) if x is None])
-        if new:
-            self.learn(new)
-            look = lambda p: self.chunks.get(p) or self.before[p]
-            got = [list(map(look, parts[1:])) if None in g else g for parts, g in zip(split, got, strict=True)]
-        regular = [IRREGULAR not in g and not parts[0][-1:].isspace() for parts, g in zip(split, got, strict=True)]
-        heads = self.library([parts[0] if ok else t for parts, ok, t in zip(split, regular, texts, strict=True)])
+        first = [parts.pop(0) for parts in split]
+        every = set().union(*split)
+        if new := every.difference(self.chunks):
+            self.learn(new, every)
+        look = self.chunks.__getitem__
+        got = [list(map(look, parts)) for parts in split]
+        regular = [IRREGULAR not in g and not f[-1:].isspace() for f, g in zip(first, got, strict=True)]
+        heads = self.library([f if ok else t for f, ok, t in zip(first, regular, texts, strict=True)])
         return [b"".join([head, *g]) if ok else head for head, g, ok in zip(heads, got, regular, strict=True)]
 
     @property
