@@ -126,7 +126,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     half = window // 2
-    n = min(2 * partitions(spark), 1 << 15)
+    n = min(partitions(spark) * 7 // 5, 1 << 15)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
 
