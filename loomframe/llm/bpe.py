@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import table
+from loomframe.llm.common import table, tidied
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of one matrix, and pieces and chunks that a worker remembers, at most.
@@ -252,6 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """Replaces the text column by n_tokens and ids. Null or empty text: no ids. Every row is encoded alone and whole."""
     keep = [c for c in docs.columns if c != text]
 
+    @tidied
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
@@ -270,6 +271,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
     """Replaces ids by the bytes they stand for, as text. A null list gives the empty text; an unknown id fails."""
     keep = [c for c in encoded.columns if c != ids]
 
+    @tidied
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
@@ -283,6 +285,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes doc_id and text, and returns the count and the digests of ids and decoded bytes."""
 
+    @tidied
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:

@@ -45,8 +45,37 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Rows of an Arrow batch. Whole texts of 10,000 rows, Spark's default, would take hundreds of MB of each worker.
+BATCH_ROWS = 1_000
+
+
+def lean(spark: SparkSession) -> None:
+    """Has Spark send texts to Python in small batches from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Gives free memory back to the system when a task ends: workers live on through later stages."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ascii_lower(text: str) -> str:
@@ -92,7 +121,7 @@ def xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
 class Lexicon(dict):
     """word -> 64-bit hash, filled on demand and emptied when it holds too many words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -131,6 +160,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 def by_key(df: DataFrame, key: str, f: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Deals rows by key and hands each task its groups one after the other."""
 
+    @tidied
     def run(batches):
         yield from f(groups(batches, key))
 

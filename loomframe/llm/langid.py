@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import held, table
+from loomframe.llm.common import held, table, tidied
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -57,6 +57,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
     result is bounded by SLOTS rows for each language.
     """
 
+    @tidied
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -120,6 +121,7 @@ def identify(docs: DataFrame, model: tuple, text: str = "text", keep: bool = Fal
     kept = [k for k in range(len(docs.columns)) if keep or k != at]
     rest = [docs.columns[k] for k in kept]
 
+    @tidied
     def run(batches):
         names, slots, logp = sent.value
         where = np.full(SLOTS, len(slots), np.int32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Lexicon, ascii_lower, by_key, mix, scratch, table
+from loomframe.llm.common import ascii_lower, by_key, Lexicon, mix, scratch, table, tidied
 from loomframe.llm.components import Forest, components
 
 #: Words of a shingle, values of a sketch, values with an inverted list, rows of a block.
@@ -49,6 +49,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, print (fingerprint of the whole set), first (the smallest values) and sketch (packed 32-bit parts)."""
     import hashlib
 
+    @tidied
     def run(batches):
         for batch in batches:
             n, prints, first, packed = [], [], [], []
@@ -178,6 +179,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
 def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) by exact similarity that span the true components within each group."""
 
+    @tidied
     def sets(batches):
         for batch in batches:
             packed = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut, table
+from loomframe.llm.common import cut, table, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words to each side that count as near an entity.
@@ -122,6 +122,7 @@ def disclosing(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float
     spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text")).where("text is not null")
 
+    @tidied
     def near(batches):
         sums: Counter = Counter()
         for batch in batches:
@@ -146,6 +147,7 @@ def disclosing(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float
         return {k: {} for k in KINDS}
     words = spark.sparkContext.broadcast(frozenset(r.term for r in rows))
 
+    @tidied
     def uses(batches):
         sums: Counter = Counter()
         n = 0
@@ -197,6 +199,7 @@ def sanitise(docs: DataFrame, cues: dict[str, dict[str, float]], text: str = "te
     keep = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(cues)
 
+    @tidied
     def run(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in range(len(KINDS) + 3)]
