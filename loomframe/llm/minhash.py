@@ -27,7 +27,7 @@ from loomframe.llm.common import ascii_lower, by_key, Lexicon, mix, scratch, tab
 from loomframe.llm.components import Forest, components
 
 #: Words of a shingle, values of a sketch, values with an inverted list, rows of a block.
-SHINGLE, SKETCH, LISTS, BLOCK = 5, 64, 8, 512
+SHINGLE, SKETCH, LISTS, BLOCK = 5, 64, 8, 768
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _lexicon = Lexicon()
 
