@@ -1,10 +1,11 @@
 """Personal data: direct identifiers, and terms that give them away.
 
 Direct identifiers (e-mail, ip, card and phone numbers) are protected entities.
-Two passes over the corpus count how often each term stands near entities of a
-kind and how often it stands anywhere. The information that a term discloses
-about a kind is log2(P(kind near | term) / P(kind near)); terms whose disclosure
-and posterior exceed thresholds are generalised along with the entities.
+One pass over the corpus counts how often each term stands near each entity and
+how often it stands anywhere. The information that a term discloses about an
+entity is log2(P(entity near | term) / P(entity near)), and likewise about a
+kind; terms whose disclosure and posterior exceed thresholds are generalised
+along with the entities: near that entity, or near all of the kind.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from loomframe.llm.common import cut, table, tidied
 KINDS = ("email", "ip", "card", "phone")
 #: Words to each side that count as near an entity.
 REACH = 4
-#: A term matters if it stands near this share of a kind's mentions at least, and near this share of its different entities, LEAST at least.
-SHARE, LEAST = 0.002, 5
-#: Bits that a term must disclose, and the part of its uses that must be near the kind.
+#: Uses near one entity that a term must have to give it away, or different entities near it to give away their kind.
+LEAST = 5
+#: Bits that a term must disclose, and the part of its uses that must be near the entity or kind.
 BITS, POSTERIOR = 6.0, 0.5
+#: Sums that a task holds before it hands them on; disclosing terms that are sent to every task, while more are joined.
+SUMS, SENT = 200_000, 100_000
 
 _ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -113,64 +116,59 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
     return out
 
 
-def disclosing(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float]]:
-    """For each kind the terms that exceed the thresholds, with the bits that they disclose.
+def disclosed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, term, entity and bits of what exceeds the thresholds: entity is null where a term gives away the kind, else the key of the one that it gives away.
 
-    Counts cover every row. At most 2 * REACH / SHARE terms of a kind can stand near that
-    share of its entities, whatever the corpus, so the candidates may be sent to every task.
+    Counts cover every row and stay distributed: P(entity | term) is judged against P(entity), and P(kind | term) against P(kind).
+    The support is LEAST uses near the entity, or LEAST different entities of the kind, however many other mentions there are.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(text).alias("text")).where("text is not null")
 
+    def rows(sums: Counter) -> pa.RecordBatch:
+        keys = list(sums)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array([sums[k] for k in keys], pa.int64())], ["kind", "term", "entity", "n"])
+
     @tidied
-    def near(batches):
+    def count(batches):
         sums: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 spans = base_spans(t)
                 for kind, x, y in spans:
                     sums[kind, None, key(t[x:y])] += 1
-                for kind, _, _, w, entity in near_terms(t, spans):
+                for kind, _, w, entity in {(kind, s, w, entity) for kind, s, _, w, entity in near_terms(t, spans)}:
                     sums[kind, w, key(entity)] += 1
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array([sums[k] for k in keys], pa.int64())], ["kind", "term", "entity", "n"])
-
-    each = docs.mapInArrow(near, "kind string, term string, entity binary, n long").groupBy("kind", "term", "entity").agg(F.sum("n").alias("n"))
-    counted = cut(each.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("entities")))
-    kinds = counted.where("term is null").collect()
-    total = {r.kind: r.n for r in kinds}
-    enough = F.lit(False)
-    for r in kinds:
-        enough |= (F.col("kind") == r.kind) & (F.col("n") >= SHARE * r.n) & (F.col("entities") >= max(LEAST, SHARE * r.entities))
-    rows = counted.where("term is not null").where(enough).collect()
-    if not rows:
-        return {k: {} for k in KINDS}
-    words = spark.sparkContext.broadcast(frozenset(r.term for r in rows))
-
-    @tidied
-    def uses(batches):
-        sums: Counter = Counter()
-        n = 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
                 own = t.split()
-                n += len(own)
-                for w, k in Counter(own).items():
-                    if (w := term(w)) in words.value:
-                        sums[w] += k
-        sums[None] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
-
-    everywhere = {r.term: r.n for r in docs.mapInArrow(uses, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    out: dict[str, dict[str, float]] = {k: {} for k in KINDS}
-    import math
-
-    for r in rows:
-        prior = 2 * REACH * total[r.kind] / max(1, everywhere[None])
-        posterior = min(1.0, r.n / max(1, everywhere.get(r.term, 0), r.n))
-        bits = math.log2(posterior / min(1.0, prior)) if prior else 0.0
-        if bits >= BITS and posterior >= POSTERIOR:
-            out[r.kind][r.term] = bits
+                sums[None, None, None] += len(own)
+                for w, n in Counter(own).items():
+                    if w := term(w):
+                        sums[None, w, None] += n
+            if len(sums) > SUMS:
+                yield rows(sums)
+                sums.clear()
+        yield rows(sums)
+
+    counted = cut(docs.mapInArrow(count, "kind string, term string, entity binary, n long").groupBy("kind", "term", "entity").agg(F.sum("n").alias("n")))
+    total = F.broadcast(counted.where("kind is null and term is null").select(F.greatest(F.col("n"), F.lit(1)).alias("words")))
+    mentions = counted.where("kind is not null and term is null").select("kind", "entity", F.col("n").alias("mentions"))
+    near = counted.where("kind is not null and term is not null")
+    one = near.where(F.col("n") >= LEAST).join(mentions, ["kind", "entity"]).select("kind", "term", "entity", "n", "mentions")
+    many = near.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= LEAST)
+    many = many.join(F.broadcast(mentions.groupBy("kind").agg(F.sum("mentions").alias("mentions"))), "kind").select("kind", "term", F.lit(None).cast("binary").alias("entity"), "n", "mentions")
+    uses = counted.where("kind is null and term is not null").select("term", F.col("n").alias("uses"))
+    prior = F.least(F.lit(1.0), 2 * REACH * F.col("mentions") / F.col("words"))
+    judged = one.union(many).join(uses, "term").crossJoin(total).withColumn("posterior", F.col("n") / F.greatest("uses", "n")).withColumn("bits", F.log2(F.col("posterior") / prior))
+    return judged.where((F.col("bits") >= BITS) & (F.col("posterior") >= POSTERIOR)).select("kind", "term", "entity", "bits")
+
+
+def disclosing(docs: DataFrame, text: str = "text") -> dict[str, dict] | DataFrame:
+    """What disclosed() finds: up to SENT rows as a dictionary for each kind, of bits by term or by term and entity; beyond, the frame itself."""
+    found = cut(disclosed(docs, text))
+    if found.limit(SENT + 1).count() > SENT:
+        return found
+    out: dict[str, dict] = {k: {} for k in KINDS}
+    for r in found.collect():
+        out[r.kind][r.term if r.entity is None else (r.term, bytes(r.entity))] = r.bits
     return out
 
 
@@ -178,10 +176,10 @@ def key(entity: str) -> bytes:
     return hashlib.blake2b(entity.encode("utf-8"), digest_size=12).digest()
 
 
-def all_spans(text: str, cues: dict[str, dict[str, float]]) -> tuple[list, list]:
-    """Direct identifiers, and these with the disclosing terms near entities of their kind."""
+def all_spans(text: str, cues: dict[str, dict]) -> tuple[list, list]:
+    """Direct identifiers, and these with the terms that disclose a kind near entities of it, or an entity near that one."""
     base = base_spans(text)
-    more = {("term", s, e) for kind, s, e, w, _ in near_terms(text, base) if w in cues[kind]} if base and any(cues.values()) else set()
+    more = {("term", s, e) for kind, s, e, w, entity in near_terms(text, base) if w in cues[kind] or (w, key(entity)) in cues[kind]} if base and any(cues.values()) else set()
     order = (*KINDS, "term")
     return base, sorted([*base, *more], key=lambda x: (x[1], order.index(x[0])))
 
@@ -190,29 +188,58 @@ def said(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def sanitise(docs: DataFrame, cues: dict[str, dict[str, float]], text: str = "text") -> DataFrame:
+def by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of found that each different text needs, as a list by the text's digest."""
+
+    @tidied
+    def near(batches):
+        for batch in batches:
+            rows = [(d, *x) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in {(kind, w, key(entity)) for kind, _, _, w, entity in near_terms(t, base_spans(t))}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.binary()))], ["digest", "kind", "term", "entity"])
+
+    each = texts.mapInArrow(near, "digest string, kind string, term string, entity binary").distinct()
+    one = each.join(found.where("entity is not null").select("kind", "term", "entity"), ["kind", "term", "entity"], "left_semi").select("digest", "kind", "term", "entity")
+    many = each.join(found.where("entity is null").select("kind", "term"), ["kind", "term"], "left_semi").select("digest", "kind", "term", F.lit(None).cast("binary").alias("entity"))
+    return one.union(many).groupBy("digest").agg(F.collect_set(F.struct("kind", "term", "entity")).alias("cues"))
+
+
+def sanitise(docs: DataFrame, cues: dict[str, dict] | DataFrame, text: str = "text") -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and sanitised to the other columns, in place of the text.
 
     Entities are replaced by their kind in angle brackets, terms by <term>; overlapping spans by
     that of the first. Null text has no spans and stays null. Every row is judged alone and whole.
+    Cues in a frame are joined to the texts, so no task holds them all.
     """
     keep = [c for c in docs.columns if c != text]
-    sent = docs.sparkSession.sparkContext.broadcast(cues)
+    joined = isinstance(cues, DataFrame)
+    sent = None if joined else docs.sparkSession.sparkContext.broadcast(cues)
 
     @tidied
     def run(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in range(len(KINDS) + 3)]
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                base, spans = all_spans(t or "", sent.value)
+            lists = batch.column(len(keep) + 1).to_pylist() if joined else itertools.repeat(None)
+            for t, own in zip(batch.column(len(keep)).to_pylist(), lists):
+                if joined:
+                    known: dict[str, dict] = {k: {} for k in KINDS}
+                    for x in own or ():
+                        known[x["kind"]][x["term"] if x["entity"] is None else (x["term"], x["entity"])] = True
+                else:
+                    known = sent.value
+                base, spans = all_spans(t or "", known)
                 n = Counter(k for k, _, _ in base)
                 for c, v in zip(columns, [*(n[k] for k in KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(spans), None if t is None else replaced(t, spans)], strict=True):
                     c.append(v)
             kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns, kinds)], [*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns, kinds)], [*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised"])
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes if c != text), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, sanitised string"])
-    return docs.select(*keep, F.col(text).alias("__own")).mapInArrow(run, schema)
+    own = docs.select(*keep, F.col(text).alias("__own"))
+    if joined:
+        digest = F.sha2("__own", 256)
+        lists = by_text(own.where("__own is not null").select(digest.alias("digest"), "__own"), cues).select(F.col("digest").alias("__digest"), F.col("cues").alias("__cues"))
+        own = own.join(lists, digest == F.col("__digest"), "left").select(*keep, "__own", "__cues")
+    return own.mapInArrow(run, schema)
 
 
 def replaced(text: str, spans: list) -> str:

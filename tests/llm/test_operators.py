@@ -219,6 +219,29 @@ def test_personal_data_is_found(spark, empty):
     assert pii.disclosing(empty) == {k: {} for k in pii.KINDS} and pii.sanitise(empty.select("doc_id", "text"), cues).count() == 0
 
 
+def test_terms_that_give_away_one_entity(spark, monkeypatch):
+    def text(k, middle):
+        return f"{' '.join(words(300, k))} {middle} {' '.join(words(300, 5000 + k))}"
+
+    ours = [(k, text(k, "ask Zebulon at z.q@home.org")) for k in range(50)] + [(50 + k, text(50 + k, f"postbox: p{k}@there{k}.org")) for k in range(6)]
+    others = [(100 + k, text(100 + k, f"u{k}@site{k}.org")) for k in range(3400)]
+    for rows in (ours, ours + others):  # unrelated mentions change nothing
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        cues = pii.disclosing(docs)
+        assert ("zebulon", pii.key("z.q@home.org")) in cues["email"] and "postbox" in cues["email"] and "zebulon" not in cues["email"]
+        got = {r.doc_id: r for r in pii.sanitise(docs, cues).collect()}
+        assert all("<term>" in got[k].sanitised and "Zebulon" not in got[k].sanitised for k in range(50)) and "<term> <email>" in got[50].sanitised
+    again = spark.createDataFrame([(1, "Zebulon wrote to other@else.org"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.sanitised for r in pii.sanitise(again, cues).collect()} == {1: "Zebulon wrote to <email>", 2: None}
+    monkeypatch.setattr(pii, "SENT", 0)
+    docs = spark.createDataFrame(ours + ours[:3] + [(None, None), (99, "")], "doc_id long, text string")
+    cues = pii.disclosing(docs)
+    assert not isinstance(cues, dict)
+    joined = sorted(map(str, pii.sanitise(docs, cues).collect()))
+    monkeypatch.undo()
+    assert joined == sorted(map(str, pii.sanitise(docs, pii.disclosing(docs)).collect())) and sum("<term>" in r for r in joined) == 59
+
+
 def test_vectors_are_linked_as_by_brute_force(spark):
     r = np.random.default_rng(5)
     base = r.standard_normal((150, 16))
