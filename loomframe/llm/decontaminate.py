@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-A mask keeps some of SPAN consecutive tokens and ignores the others, so a seed survives
-substitutions at ignored places. Seeds of benchmark items and of documents are hashed
+A mask keeps some of a few consecutive tokens and ignores the others, so a seed survives
+substitutions at ignored places; whatever substitutions LEAST_SHARE allows, a seed of one
+of the masks survives them. Seeds of benchmark items and of documents are hashed
 and joined; each hit names a diagonal (place in the document minus place in the item), along
 which tokens are compared. An item is found in a document if a window of WINDOW tokens of
 the item (all of it, if shorter) has LEAST_SHARE of its tokens in place.
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import cut, table
 
-#: Kept places of each mask: no two substitutions less than a span apart hit every mask at every shift.
-MASKS = ("110100111", "111011001")
-SPAN = len(MASKS[0])
+#: Kept places of each mask, the first and last among them. For a window of 9 to 16 tokens with any quarter of them substituted, a mask fits at some place: a test goes through all.
+MASKS = ("11101", "100111")
 WINDOW, LEAST_SHARE = 16, 0.75
+#: Tokens that an item must have to be searched.
+LEAST_TOKENS = 9
 #: Rows of seeds or hits, at under 40 bytes each, up to which a side is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -28,16 +30,15 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def seeds(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place and seed (hash of mask and kept tokens) of every place of every mask. Texts of under SPAN tokens have none."""
-    hashed = rows.select(F.col(key).alias("key"), F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h")).withColumn("n", F.size("h") - SPAN + 1).where("n > 0")
+def seeds(rows: DataFrame, key: str, text: str, least: int = 1) -> DataFrame:
+    """key, place and seed (hash of mask and kept tokens) of every place of every mask, for texts of least tokens. Texts shorter than a mask have none of it."""
+    hashed = rows.select(F.col(key).alias("key"), F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h")).where(F.size("h") >= least)
 
     def one(number: int, mask: str) -> Column:
         kept = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.lit(number), *[F.get("h", i + k) for k in kept]))
+        return F.when(F.size("h") >= len(mask), F.transform(F.sequence(F.lit(0), F.size("h") - len(mask)), lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(number), *[F.get("h", i + k) for k in kept]).alias("seed")))).otherwise(F.array())
 
-    each = hashed.select("key", "n", F.posexplode(F.concat(*[one(k, m) for k, m in enumerate(MASKS)])).alias("at", "seed"))
-    return each.select("key", "seed", (F.col("at") % F.col("n")).alias("place"))
+    return hashed.select("key", F.explode(F.concat(*[one(k, m) for k, m in enumerate(MASKS)])).alias("at")).select("key", "at.seed", "at.place")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -48,13 +49,13 @@ def small(df: DataFrame) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item (tokens of the item), n_window, n_matched (the best window) and share of every item found in a document.
 
-    docs has doc_id and text, benchmark item_id and text; the whole of both is searched. Null and short texts are found nowhere
-    and hold nothing; items of under SPAN tokens cannot be found. Rows with a null id are left out. Rows that share an id count as
+    docs has doc_id and text, benchmark item_id and text; the whole of both is searched. Null and empty texts are found nowhere
+    and hold nothing; items of under LEAST_TOKENS tokens are not searched; of the others, every match is found. Rows with a null id are left out. Rows that share an id count as
     one with the best match of any.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     items = benchmark.select("item_id", "text").where("item_id is not null")
-    known = cut(seeds(items, "item_id", "text").select(F.col("key").alias("item_id"), "seed", F.col("place").alias("item_place")).distinct())
+    known = cut(seeds(items, "item_id", "text", LEAST_TOKENS).select(F.col("key").alias("item_id"), "seed", F.col("place").alias("item_place")).distinct())
     hits = seeds(docs, "doc_id", "text").join(small(known), "seed").select(F.col("key").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = cut(hits)
     held = docs.join(small(hits), "doc_id").select("doc_id", "item_id", "diagonal", tokens(F.col("text")).alias("own"))

@@ -1,6 +1,8 @@
 """The text operators against plain versions, on small tables with hard rows."""
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -191,6 +193,44 @@ def test_items_are_found_with_substitutions(spark, hard, empty):
     assert kept == {r.doc_id for r in docs.collect()} - {100, 102}
 
 
+def test_every_allowed_substitution_leaves_a_seed():
+    for n in range(decontaminate.LEAST_TOKENS, decontaminate.WINDOW + 1):
+        for gone in itertools.combinations(range(n), n - math.ceil(decontaminate.LEAST_SHARE * n)):
+            assert any(all(m[k] == "0" or i + k not in gone for k in range(len(m))) for m in decontaminate.MASKS for i in range(n - len(m) + 1)), (n, gone)
+
+
+def plain_find(texts, items):
+    out = {}
+    for d, t in texts.items():
+        for i, item in items.items():
+            own, want = t.split(), item.split()
+            wide, best = min(16, len(want)), 0
+            for at in range(-len(want), len(own)):
+                same = [0 <= k + at < len(own) and own[k + at] == w for k, w in enumerate(want)]
+                best = max(best, *(sum(same[k : k + wide]) for k in range(len(want) - wide + 1)))
+            if best >= 0.75 * wide:
+                out[d, i] = best
+    return out
+
+
+def test_items_are_found_as_without_seeds(spark):
+    r = np.random.default_rng(12)
+    items = {n: " ".join(f"i{n}x{k}" for k in range(n)) for n in (9, 10, 11, 12, 13, 15, 16, 20, 40)}
+    texts = {}
+    for n, item in items.items():
+        for gone in range(6):
+            for _ in range(6):
+                w = item.split()
+                for k in r.choice(n, gone, replace=False):
+                    w[k] = "other"
+                texts[len(texts)] = " ".join([*words(7, len(texts)), *w, *words(5, len(texts))])
+    for k in (0, 1, 8):
+        texts[len(texts)] = " ".join("other" if j == k else w for j, w in enumerate(items[9].split()))
+    texts |= {len(texts): " ".join(items[9].split()[:7]), len(texts) + 1: " ".join(items[12].split()[3:]), len(texts) + 2: " ".join(items[16].split()[:12])}
+    got = decontaminate.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.n_matched for x in got.collect()} == plain_find(texts, items)
+
+
 def test_decontamination_has_no_python(spark, some):
     plan = decontaminate.find(some, spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
