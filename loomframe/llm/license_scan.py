@@ -1,16 +1,18 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text that holds a cue is a header candidate, and is compared to every
-template and to each of its sentences. Inverse document frequencies of the templates' terms
-are counted over the whole corpus. A file that is mostly licence is the licence of its
-directory; files without a header of their own take that of the nearest directory above.
+Every line of a text that holds a cue is a header candidate, and so is every run of terms
+around a cue that is as long as a template or one of its sentences, on one line or several;
+each is compared to the templates and their sentences. Whole texts with a cue are compared to
+the full licences. Inverse document frequencies of the templates' and licences' terms are
+counted over the whole corpus. A file that is mostly licence is the licence of its directory; files without a header of their own take that of the nearest directory above.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,14 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License",
 }
-#: Cosine from which a line is a header, and part of a file's words in headers from which it is a licence file.
-COSINE, FILE_SHARE = 0.6, 0.5
+#: Full texts of licences, without their copyright lines. There is none of the CC-BY licences here.
+FULL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+#: Cosine from which a line is a header, part of a file's words in headers from which it is a licence file, and cosine to a full licence from which it is that.
+COSINE, FILE_SHARE, WHOLE = 0.6, 0.5, 0.85
 _term = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 #: Terms that any licence line must hold one of.
 CUES = ("licens", "permission", "redistribut", "public domain", "copyright", "spdx")
+_cue = re.compile("|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES))
 
 
 def terms(text: str) -> list[str]:
@@ -73,13 +78,16 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> tuple[int, dict[s
 class Matcher:
     """Cosines of lines to the templates' sentences, over the templates' terms and one slot for all others."""
 
-    def __init__(self, templates: dict[str, str], n: int, df: dict[str, int]):
-        self.names = sentences(templates)
+    def __init__(self, names: list[tuple[str, str]], n: int, df: dict[str, int]):
+        self.names = names
         self.at = {t: k for k, t in enumerate(sorted({t for _, x in self.names for t in terms(x)}))}
         self.idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 0.1 for t in self.at])
         self.rare = math.log(1 + n) + 0.1
         self.rows = np.stack([self.vector(terms(x))[0] for _, x in self.names])
         self.rows /= np.linalg.norm(self.rows, axis=1)[:, None]
+        self.lengths = defaultdict(list)
+        for k, (_, x) in enumerate(names):
+            self.lengths[len(terms(x))].append(k)
 
     def vector(self, own: list[str]) -> tuple[np.ndarray, float]:
         """Weights of known terms, and the norm with unknown ones."""
@@ -102,23 +110,71 @@ class Matcher:
         return self.names[k][0], min(1.0, float(c[k]))
 
 
-def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Adds license, score and is_file to the other columns of docs, in place of the text: the best line's template if its cosine reaches COSINE.
-
-    Null and empty texts have no licence and score 0. Ties go to the earlier line, then the earlier template. Whole texts are read.
+    def windows(self, low: str) -> list[tuple[float, str, int, int]]:
+        """Score, name, start and end of the runs of terms that hold a cue, are as long as a template and reach COSINE: the best first, none that overlaps a better one."""
+        found = list(_term.finditer(low))
+        starts = np.array([m.start() for m in found])
+        cue = np.zeros(len(found) + 1, np.int64)
+        reach, stretches = max(self.lengths), []
+        for m in _cue.finditer(low):
+            p = int(starts.searchsorted(m.start(), "right")) - 1
+            cue[p + 1] = 1
+            a, b = max(0, p - reach + 1), min(len(found), p + reach)
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = b
+            else:
+                stretches.append([a, b])
+        cue = cue.cumsum()
+        hits = []
+        for a, b in stretches:
+            at = np.array([self.at.get(m[0], -1) for m in found[a:b]])
+            sums = np.zeros((b - a + 1, len(self.at) + 1), np.int32)
+            sums[np.arange(1, b - a + 1), at] = 1  # unknown terms: the last slot
+            sums = sums.cumsum(0)
+            for length, rows in self.lengths.items():
+                n = min(length, b - a)
+                counts = sums[n:] - sums[:-n]
+                v = counts[:, :-1] * self.idf
+                c = v @ self.rows[rows].T / np.sqrt((v * v).sum(1) + counts[:, -1] * self.rare**2)[:, None]
+                for i in np.flatnonzero((c.max(1) >= COSINE) & (cue[a + n : b + 1] > cue[a : b + 1 - n])).tolist():
+                    k = int(c[i].argmax())
+                    hits.append((-min(1.0, float(c[i, k])), a + i, rows[k], a + i + n))
+        out, taken = [], np.zeros(len(found), bool)
+        for s, i, k, j in sorted(hits):
+            if not taken[i:j].any():
+                taken[i:j] = True
+                out.append((-s, self.names[k][0], found[i].start(), found[j - 1].end()))
+        return out
+
+
+def words_within(low: str, spans: list[tuple[int, int]]) -> int:
+    """How many words of a text any of the spans touches."""
+    inside = np.zeros(len(low) + 1, np.int64)
+    for a, b in spans:
+        inside[a + 1 : b + 1] = 1
+    inside = inside.cumsum()
+    return sum(int(inside[m.end()] > inside[m.start()]) for m in re.finditer(r"\S+", low))
+
+
+def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES, full: dict[str, str] = FULL) -> DataFrame:
+    """Adds license, score and is_file to the other columns of docs, in place of the text: the best line's or window's template if its cosine reaches COSINE, or the full licence that the text is.
+
+    Null and empty texts have no licence and score 0. Ties go to lines, the earlier first, then the earlier template. Whole texts are read.
     """
-    n, df = frequencies(docs, templates)
+    n, df = frequencies(docs, templates | {f"{k} in full": x for k, x in full.items()})
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        m = Matcher(templates, n, df)
+        m = Matcher(sentences(templates), n, df)
+        whole = Matcher(list(full.items()), n, df) if full else None
         cache: dict[str, tuple] = {}
         for batch in batches:
             names, scores, files = [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                name, score, covered = None, 0.0, 0
+                name, score, spans, is_file = None, 0.0, [], False
                 low = t.lower() if t else ""
-                if any(c in low for c in CUES):
+                if _cue.search(low):
+                    at = 0
                     for line in low.split("\n"):
                         if any(c in line for c in CUES):
                             if line not in cache:
@@ -127,10 +183,19 @@ def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
                                 cache[line] = m.best(line)
                             who, s = cache[line]
                             if s >= COSINE:
-                                covered += len(line.split())
+                                spans.append((at, at + len(line)))
                                 if s > score:
                                     name, score = who, s
-                names.append(name), scores.append(score), files.append(bool(covered) and covered >= FILE_SHARE * len(low.split()))
+                        at += len(line) + 1
+                    for s, who, a, b in m.windows(low):
+                        spans.append((a, b))
+                        if s > score:
+                            name, score = who, s
+                    is_file = bool(spans) and words_within(low, spans) >= FILE_SHARE * len(low.split())
+                    who, s = whole.best(low) if whole else (None, 0.0)
+                    if s >= WHOLE:
+                        name, score, is_file = who, s, True
+                names.append(name), scores.append(score), files.append(is_file)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(files, pa.bool_())], [*keep, "license", "score", "is_file"])
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes if c != "text"), "license string, score double, is_file boolean"])

@@ -350,6 +350,22 @@ def test_licences(spark, empty):
     assert license_scan.inherit(license_scan.headers(docs.limit(0))).count() == 0
 
 
+def test_licences_inside_lines_and_in_full(spark):
+    mit = license_scan.FULL["MIT"]
+    rest = " ".join(words(400, 3))
+    docs = spark.createDataFrame(
+        [(1, "m/LICENSE", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}"), (2, "m/a.py", rest), (3, "l/a.txt", f"{rest} Released under the MIT License. {rest}"), (4, "l/b.txt", f"{rest}\n# Licensed under the Apache\n# License, Version 2.0\n{rest}")]
+        + [(10 + k, f"{name}/COPYING", text) for k, (name, text) in enumerate(license_scan.FULL.items())]
+        + [(50, "z/x.txt", f"a licence is no {rest} license")],
+        "doc_id long, path string, text string",
+    )
+    got = {r.doc_id: r for r in license_scan.inherit(license_scan.headers(docs)).collect()}
+    assert got[1].is_file and got[1].license == "MIT" and got[2].effective == "MIT" and got[2].inherited_from == "m"
+    assert (got[3].license, got[3].is_file, got[4].license, got[4].is_file) == ("MIT", False, "Apache-2.0", False)
+    assert all(got[10 + k].is_file and got[10 + k].license == name for k, name in enumerate(license_scan.FULL))
+    assert got[50].license is None and not got[50].is_file
+
+
 def test_extra_columns_and_repeated_rows(spark, some):
     clash = some.select("*", F.lit(1).alias("bucket"), F.lit(2).alias("component"), F.lit(3).alias("print"))
     twice = clash.union(clash)
