@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is set, a local session (tests) gets a folder of its own; a cluster is refused."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
+    if told is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if told is None:
         told = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="loomframe-")
     if sc.getCheckpointDir() is None:
@@ -41,8 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder for a table that is written and read again."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a table that is written and read again. clear() removes all of an application."""
+    return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomframe-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no frame will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that operators have written in the shared folder; call it once their results are read or written."""
+    drop_scratch(spark, own_folder(spark))
 
 
 #: Rows of an Arrow batch. Whole texts of 10,000 rows, Spark's default, would take hundreds of MB of each worker.

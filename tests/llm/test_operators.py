@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -90,19 +91,29 @@ def test_store_gives_back_what_it_got(spark, hard, some, empty, tmp_path):
 
     path = public.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    for k, docs in enumerate((hard, some, empty)):
+    more = ["a<|endoftext|>b", "<|endoftext|>", "a \rb", "\ra", "a\r\nb", "\na", " a", "a \nb", "a\n\nb", "don't 's it''s", "x\u00a0y z", "e\u0301 \u0501\u0501. a1.b", "tail...\n***next", "a\x1cb c"]
+    extra = spark.createDataFrame([(1_000_000 + k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    for k, docs in enumerate((hard, some, empty, extra)):
+        docs = docs.select("doc_id", "text")
         docs = docs.union(docs.limit(2))
         at = str(tmp_path / f"store{k}")
         store.write(docs, at, path)
         want = sorted([(r.doc_id is not None, r.doc_id or 0, [*library.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in docs.collect()])
         assert sorted([(r.doc_id is not None, r.doc_id or 0, r.ids) for r in store.read(spark, at).collect()]) == want
-        got = store.with_starts(store.read_digests(spark, at)).collect()
+        got = store.read_digests(spark, at).collect()
         sums = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got)
         assert sums == Counter((i if known else None, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for known, i, x in want)
         ends = sorted((r.start, r.start + r.n_tokens) for r in got)
         assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False)) and (not ends or ends[0][0] == 0)
         assert store.chunks(spark, at).groupBy("key").count().where("count > 1").count() == 0
+        in_order = [r.doc_id for r in store.recipes(spark, at).orderBy("part", "place").collect()]
+        assert in_order == sorted(in_order, key=lambda x: (x is not None, x or 0)) and [r.doc_id for r in sorted(got, key=lambda r: (r.start, r.n_tokens))] == in_order
+
+
+def public_path():
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_50k.json")
 
 
 def test_store_tells_damage(spark, some, tmp_path):
@@ -110,6 +121,29 @@ def test_store_tells_damage(spark, some, tmp_path):
     ids = np.arange(10_000, dtype=np.uint32) % 977
     assert store.cuts(ids)[-1] == 10_000 and max(np.diff([0, *store.cuts(ids)])) <= store.MOST
     assert store.cuts(np.concatenate((ids[:5], ids)))[-3:] == [e + 5 for e in store.cuts(ids)[-3:]]
+    path = str(tmp_path / "damaged")
+    store.write(some.select("doc_id", "text"), path, public_path())
+
+    def rewritten(what, change):
+        """The store with one of its tables changed."""
+        other = f"{path}-{len(list(tmp_path.iterdir()))}"
+        shutil.copytree(path, other)
+        df = change(spark.read.parquet(f"{path}/{what}"))
+        shutil.rmtree(f"{other}/{what}")
+        df.write.parquet(f"{other}/{what}")
+        return other
+
+    first = store.chunks(spark, path).agg(F.min("key").alias("k")).first().k
+    flipped = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.unhex(F.lpad(F.hex(F.expr("(conv(hex(substring(payload, -1, 1)), 16, 10) + 1) % 256").cast("long")), 2, "0")))
+    bad = [
+        rewritten("objects/kind=0", lambda df: df.withColumn("payload", F.when(F.col("key") == F.lit(first), flipped).otherwise(F.col("payload")))),
+        rewritten("recipes", lambda df: df.where(f"doc_id != {some.agg(F.max('doc_id')).first()[0]}")),
+        rewritten("recipes", lambda df: df.withColumn("payload", F.reverse(F.hex("payload")).cast("binary"))),
+        rewritten("manifest", lambda df: df.withColumn("start", F.col("start") + 1)),
+    ]
+    for at in bad:
+        with pytest.raises(Exception, match="match"):
+            store.read_digests(spark, at).collect()
 
 
 def plain_components(sets, percent):
