@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows, of ids and a few numbers each, up to which a side of a join is broadcast; they are counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a side for broadcast if its rows, counted here, are few enough; beyond, Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder for a table that is written and read again. clear() removes all of an application."""
     return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"

@@ -48,24 +48,20 @@ def shrink(batches):
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id and component (smallest id reachable) of every id that a link (a, b) names; nulls and loops are left out.
 
-    Alternates large and small stars until no link changes: every round at least halves what is
-    left to do on long chains, and each round's links are written to the shared folder.
+    Alternates large and small stars, each round's links written to the shared folder, until every id has one
+    link, to an id without one. Fails if that isn't reached in most_rounds: a round at least halves long chains.
+    The smallest neighbours are written apart, so that Spark can split the join of a much linked id.
     """
     e = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a is not null and b is not null and a != b")
     e = cut(e.mapInArrow(shrink, "a long, b long").distinct())
-    seen = None
     for _ in range(most_rounds):
+        least = cut(e.groupBy("a").agg(F.min("b").alias("m")))
+        if least.count() == e.count() and e.select("b").distinct().join(least.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         # large star: every larger neighbour of a node goes to the smallest id around the node
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # small star: a node and its smaller neighbours go to the smallest of these
+        large = e.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # small star: a node and its smaller neighbours, at most one for each task above, go to the smallest of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
         e = cut(small)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.countDistinct("a").alias("d")).first()
-        if (now.n, now.s) == seen:
-            break
-        seen = (now.n, now.s)
-    stars = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut, table
+from loomframe.llm.common import cut, small, table
 
 #: Kept places of each mask, the first and last among them. For a window of 9 to 16 tokens with any quarter of them substituted, a mask fits at some place: a test goes through all.
 MASKS = ("11101", "100111")
 WINDOW, LEAST_SHARE = 16, 0.75
 #: Tokens that an item must have to be searched.
 LEAST_TOKENS = 9
-#: Rows of seeds or hits, at under 40 bytes each, up to which a side is broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -41,11 +39,6 @@ def seeds(rows: DataFrame, key: str, text: str, least: int = 1) -> DataFrame:
     return hashed.select("key", F.explode(F.concat(*[one(k, m) for k, m in enumerate(MASKS)])).alias("at")).select("key", "at.seed", "at.place")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks a side for broadcast if its rows, counted here, are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item (tokens of the item), n_window, n_matched (the best window) and share of every item found in a document.
 

@@ -2,11 +2,11 @@
 
 One hash function orders all shingles; a document's sketch is the k smallest hashes of
 its set. Documents with equal sets form a class, of which the smallest id goes on.
-The smallest LISTS values of each sketch go to inverted lists. Within a list, cut into blocks
-where it is long, the sketches of each pair tell how many of the k smallest values of
+The smallest LISTS values of each sketch go to inverted lists. Within a list the sketches of a pair tell how many of the k smallest values of
 the union both hold; pairs far from the threshold are out, the others make groups.
-In each group the exact Jaccard similarity of full sets decides, block by block,
-and a block returns a spanning forest of its links in place of all pairs.
+In each group the exact Jaccard similarity of full sets decides. Long lists and large
+groups first meet their centre; only rows not linked with it meet the others, in blocks.
+Each unit of work returns a spanning forest of its links in place of all pairs.
 
 A pair at the threshold t misses all lists with probability (1 - t) ** LISTS, and the
 estimate's bound with that of a binomial five deviations below its mean; both are under
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ascii_lower, by_key, Lexicon, mix, scratch, table, tidied
+from loomframe.llm.common import Lexicon, ascii_lower, by_key, cut, mix, scratch, small, table, tidied
 from loomframe.llm.components import Forest, components
 
 #: Words of a shingle, values of a sketch, values with an inverted list, rows of a block.
@@ -86,65 +87,83 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def likely(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray], nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can reach the threshold, by size and by the union's smallest values."""
-    t = percent / 100
-    shared = overlaps(a, b)
-    small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-    k = np.minimum(SKETCH, large)
-    # all of the union's k smallest values that both sets hold are in both sketches
-    least = np.maximum(1, t * k - 5 * np.sqrt(k * t * (1 - t)))
-    # sketches that hold whole sets decide at once
-    whole = large <= SKETCH
-    return (100 * small >= percent * large) & np.where(whole, 100 * shared >= percent * (small + large - shared), shared >= least)
+def packed_matrix(sketch: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows, the largest value behind them."""
+    out = np.full((len(sketch), SKETCH), np.uint32(0xFFFFFFFF))
+    for row, s in zip(out, sketch, strict=True):
+        row[: len(s)] = s
+    return out
+
+
+def union_overlap(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """How many of the k smallest values of the union of two sketches both hold, row by row."""
+    both = np.sort(np.concatenate([a, b], 1), 1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.uint32(0xFFFFFFFF))
+    return (again & (np.cumsum(~again, 1) <= k[:, None])).sum(1)
+
+
+class Sketches:
+    """Judges pairs by the k smallest values of the union of their sketches."""
+
+    def __init__(self, data: list[bytes], size: np.ndarray, percent: int):
+        self.values, self.size, self.t, self.percent = [np.frombuffer(x, "<u4") for x in data], size, percent / 100, percent
+        self.rows = packed_matrix(self.values)
+
+    def least(self, k: np.ndarray) -> np.ndarray:
+        return np.maximum(1, self.t * k - 5 * np.sqrt(k * self.t * (1 - self.t)))
+
+    def maybe(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs can reach the threshold by their sizes and by all values that their sketches share."""
+        shared = overlaps([self.values[k] for k in left], [self.values[k] for k in right])
+        a, b = self.size[left][:, None], self.size[right][None]
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        # sketches that hold whole sets decide at once
+        return (100 * small >= self.percent * large) & np.where(large <= SKETCH, 100 * shared >= self.percent * (small + large - shared), shared >= self.least(np.minimum(SKETCH, large)))
+
+    def sure(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs one by one: those of which the union's smallest values tell enough in common."""
+        large = np.maximum(self.size[left], self.size[right])
+        k = np.minimum(SKETCH, large)
+        return (large <= SKETCH) | (union_overlap(self.rows[left], self.rows[right], k) >= self.least(k))
 
 
-def banded(lists: DataFrame, percent: int) -> DataFrame:
-    """Cuts the inverted lists of over BLOCK documents by size. Adds list (the value and a band) and leaves lists of one document out.
+class Sets:
+    """Judges pairs by exact similarity of their whole sets."""
+
+    def __init__(self, data: list[bytes], size: np.ndarray, percent: int):
+        self.values, self.size, self.percent = [np.frombuffer(x, np.uint64) for x in data], np.array([len(x) // 8 for x in data], np.int64), percent
+
+    def maybe(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        shared = overlaps([self.values[k] for k in left], [self.values[k] for k in right]).astype(np.int64)
+        return 100 * shared >= self.percent * (self.size[left][:, None] + self.size[right][None] - shared)
+
+    def sure(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.ones(len(left), bool)
+
+
+def banded(lists: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """Cuts the inverted lists (doc_id, n_shingles, value) of over BLOCK documents by size. Gives list (the value and a band), doc_id and __n, without lists of one document, and whether any list is longer than BLOCK.
 
     Documents of a pair are in the same band of sizes or in neighbouring ones, so each band
     also gets the documents of the band below; a band without own documents is left out.
+    Sizes of lists are written apart, so that Spark can split the join of a common value.
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
-    lists = lists.withColumn("__band", band)
+    lists = lists.select("doc_id", "value", band.alias("__band"))
     counts = lists.groupBy("value", "__band").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("value").agg(F.sum("n").alias("__total"), F.map_from_entries(F.collect_list(F.struct("__band", "n"))).alias("__of")).where("__total > 1")
+    sizes = cut(counts.groupBy("value").agg(F.sum("n").alias("__total"), F.map_from_entries(F.collect_list(F.struct("__band", "n"))).alias("__of")).where("__total > 1"))
     cold = F.col("__total") <= BLOCK
     each = lists.join(sizes, "value").withColumn("__at", F.explode(F.when(cold, F.array(F.lit(-1))).otherwise(F.array(F.col("__band"), F.col("__band") + 1))))
     own = F.try_element_at("__of", F.col("__at"))
-    sized = each.withColumn("__n", F.when(cold, F.col("__total")).otherwise(own + F.coalesce(F.try_element_at("__of", F.col("__at") - 1), F.lit(0)))).where("__n is not null")
-    return sized.withColumn("list", F.xxhash64("value", "__at")).drop("__band", "__total", "__of", "__at")
-
-
-def spread(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """Deals the rows of a key, of which __n tells the number, to blocks of about BLOCK by a hash of the item, and gives each row to every pair of blocks that its own is in.
-
-    Adds unit, i and j (the pair's blocks) and block (the row's own).
-    """
-    dealt = rows.withColumn("__b", F.ceil(F.col("__n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(item, F.lit(3)), F.col("__b")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    return each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("unit", F.xxhash64(key, "i", "j")).drop("__b", "__n", "other")
+    sized = each.withColumn("__n", F.when(cold, F.col("__total")).otherwise(own + F.coalesce(F.try_element_at("__of", F.col("__at") - 1), F.lit(0)))).where("__n > 1")
+    return sized.select(F.xxhash64("value", "__at").alias("list"), "doc_id", "__n"), not sizes.where(F.col("__total") > BLOCK).isEmpty()
 
 
-def counted(rows: DataFrame, key: str) -> DataFrame:
-    """Adds the number of rows of a key, and leaves keys with one row out."""
-    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), key)
-
-
-def sides(t: dict, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of either block of a unit; the same twice where a block meets itself."""
-    i, j, block = (t[c][members] for c in ("i", "j", "block"))
-    return (members, members) if i[0] == j[0] else (members[block == i[0]], members[block == j[0]])
-
-
-def links_of(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
-    """A spanning forest of the links that the matrix tells."""
-    out = []
-    for x, y in zip(*np.nonzero(linked), strict=True):
-        a, b = int(ids[left[x]]), int(ids[right[y]])
-        if a != b and forest.join(a, b):
-            out.append((a, b))
-    return out
+def pairs_of_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Gives each row, of which block is its own and others the blocks it meets, to every such pair of blocks. Adds unit, i and j (the pair's blocks)."""
+    each = rows.withColumn("other", F.explode("others"))
+    return each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("unit", F.xxhash64(key, "i", "j")).drop("others", "other", "__n")
 
 
 def units(batch: pa.Table, names: tuple[str, ...], key: str):
@@ -157,51 +176,105 @@ def units(batch: pa.Table, names: tuple[str, ...], key: str):
     return t, [np.flatnonzero(at == k) for k in range(at.max() + 1)]
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span the groups of representatives which the sketches can't tell apart."""
+def spanning(judge, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of rows."""
+    forest, out = Forest(), []
+    x, y = np.nonzero(judge.maybe(left, right))
+    step = 1_000
+    at = 0
+    while at < len(x):
+        one, two = left[x[at : at + step]], right[y[at : at + step]]
+        at, step = at + step, min(20_000, 2 * step)
+        # pairs within a tree need no look
+        roots = [np.fromiter((forest.root(k) for k in side.tolist()), np.int64, len(side)) for side in (one, two)]
+        some = np.flatnonzero(roots[0] != roots[1])
+        some = some[judge.sure(one[some], two[some])]
+        out += [(int(ids[a]), int(ids[b])) for a, b in zip(one[some].tolist(), two[some].tolist(), strict=True) if forest.join(a, b)]
+    return [(a, b) for a, b in out if a != b]
+
+
+def in_units(rows: DataFrame, key: str, kind: type, percent: int) -> DataFrame:
+    """Links (a, b) that span what is linked in each pair of blocks; rows have key, doc_id, size, data, block and others."""
 
     def run(tables):
         for batch in tables:
-            t, each = units(batch, ("list", "i", "j", "block", "doc_id", "n_shingles"), "list")
-            sketch = [np.frombuffer(x, "<u4") for x in batch.column("sketch").to_pylist()]
-            out = []
+            t, each = units(batch, (key, "i", "j", "block", "doc_id", "size"), key)
+            judge, out = kind(batch.column("data").to_pylist(), t["size"], percent), []
             for members in each:
-                left, right = sides(t, members)
+                i, j = t["i"][members[0]], t["j"][members[0]]
+                left, right = (members, members) if i == j else (members[t["block"][members] == i], members[t["block"][members] == j])
                 if len(left) and len(right) and len(members) > 1:
-                    linked = likely([sketch[k] for k in left], t["n_shingles"][left], [sketch[k] for k in right], t["n_shingles"][right], percent)
-                    out += links_of(t["doc_id"], left, right, linked, Forest())
+                    out += spanning(judge, t["doc_id"], left, right)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    lists = reps.select("doc_id", "n_shingles", "sketch", F.explode("first").alias("value"))
-    return by_key(spread(banded(lists, percent).drop("value"), "list", "doc_id"), "unit", run, "a long, b long")
+    return by_key(pairs_of_blocks(rows, key), "unit", run, "a long, b long")
+
+
+def linked(rows: Callable[[Column], DataFrame], key: str, kind: type, percent: int, hot: bool) -> DataFrame:
+    """Links (a, b) that span the linked rows of each key; rows gives those that fulfil a condition on __n, the number of the key's rows, with key, doc_id, size and data.
+
+    Keys of up to BLOCK rows are one unit of work. In larger ones, where hot tells that there are any, each row first meets
+    the key's centre, its smallest doc_id, through a join that Spark can split. Rows linked with the centre need
+    no more comparisons with each other; the rest, in blocks, meet all rows.
+    """
+    one = F.lit(0).cast("int")
+    cold = in_units(rows(F.col("__n") <= BLOCK).withColumn("block", one).withColumn("others", F.array(one)), key, kind, percent)
+    if not hot:
+        return cold
+    spark = cold.sparkSession
+    path, met = scratch(spark, "members"), scratch(spark, "met")
+    rows(F.col("__n") > BLOCK).select(key, "doc_id", "size", "data").write.parquet(path)
+    large = spark.read.parquet(path)
+    centre = cut(large.groupBy(key).agg(F.min_by(F.struct("doc_id", "size", "data"), "doc_id").alias("c")).select(key, F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.data").alias("centre_data")))
+
+    def meet(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            n = batch.num_rows
+            judge = kind([*t.column("data").to_pylist(), *t.column("centre_data").to_pylist()], np.concatenate([t.column("size").to_numpy(), t.column("centre_size").to_numpy()]), percent)
+            on = np.zeros(n, bool)
+            pair, keys = np.stack([np.arange(n), n + np.arange(n)]), t.column(key).to_numpy()
+            for k in np.unique(keys):
+                own = np.flatnonzero(keys == k)
+                on[own] = judge.maybe(pair[0, own], pair[1, own[:1]])[:, 0]
+            on &= judge.sure(*pair)
+            on |= t.column("doc_id").to_numpy() == t.column("centre").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in (key, "doc_id", "size", "data", "centre")), pa.array(on)], [key, "doc_id", "size", "data", "centre", "on"])
+
+    large.join(centre, key).mapInArrow(tidied(meet), f"{key} long, doc_id long, size long, data binary, centre long, on boolean").write.parquet(met)
+    done = spark.read.parquet(met)
+    sides = cut(done.groupBy(key).agg(F.sum((~F.col("on")).cast("long")).alias("rest"), F.sum(F.col("on").cast("long")).alias("joined")).where("rest > 0"))
+    b_rest, b_all = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int") + F.ceil(F.col("joined") / BLOCK).cast("int")
+    draw = F.xxhash64("doc_id", F.lit(3))
+    left = done.join(small(sides), key)
+    left = left.withColumn("block", F.when(F.col("on"), b_rest + F.pmod(draw, b_all - b_rest)).otherwise(F.pmod(draw, b_rest)).cast("int"))
+    left = left.withColumn("others", F.when(F.col("on"), F.sequence(F.lit(0), b_rest - 1)).otherwise(F.sequence(F.lit(0), b_all - 1)))
+    met_links = done.where("on and doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
+    return cold.union(met_links).union(in_units(left.select(key, "doc_id", "size", "data", "block", "others"), key, kind, percent))
+
+
+def candidates(reps: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the groups of representatives (doc_id, n_shingles, first) which the sketches can't tell apart. Sketches are joined to what is left of the lists."""
+    lists, hot = banded(reps.select("doc_id", "n_shingles", F.explode("first").alias("value")), percent)
+    rows = lists.join(drawn.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("data")), "doc_id").select("list", "doc_id", "size", "data", "__n")
+    return linked(rows.where, "list", Sketches, percent, hot)
 
 
 def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) by exact similarity that span the true components within each group."""
+    """Links (a, b) by exact similarity that span the true components within each group. Texts of the groups' documents alone are read again."""
 
     @tidied
     def sets(batches):
         for batch in batches:
             packed = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["doc_id", "component", "words", "__n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 8 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["component", "doc_id", "size", "data"])
 
-    def run(tables):
-        for batch in tables:
-            t, each = units(batch, ("component", "i", "j", "block", "doc_id"), "component")
-            words = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
-            out = []
-            for members in each:
-                left, right = sides(t, members)
-                if not len(left) or not len(right) or len(members) < 2:
-                    continue
-                a, b = [words[k] for k in left], [words[k] for k in right]
-                n, m = (np.array([len(x) for x in s]) for s in (a, b))
-                shared = overlaps(a, b).astype(np.int64)
-                out += links_of(t["doc_id"], left, right, 100 * shared >= percent * (n[:, None] + m[None] - shared), Forest())
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    def full(which: Column) -> DataFrame:
+        return docs.join(small(members.where(which)), "doc_id").select("component", "doc_id", "text").mapInArrow(sets, "component long, doc_id long, size long, data binary")
 
-    full = counted(groups, "component").join(docs, "doc_id").select("doc_id", "component", "text", "__n").mapInArrow(sets, "doc_id long, component long, words binary, __n long")
-    return by_key(spread(full, "component", "doc_id"), "unit", run, "a long, b long")
+    counts = cut(groups.groupBy("component").agg(F.count(F.lit(1)).alias("__n")))
+    members = cut(groups.join(counts, "component"))
+    return linked(full, "component", Sets, percent, not counts.where(F.col("__n") > BLOCK).isEmpty())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -210,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents are linked if 100 * intersection >= percent * union of their sets of five-word shingles.
     component_id is the smallest doc_id reachable. Null texts and texts without words have no set
     and are linked with nothing: component_id is their own id. Rows that share a doc_id are one
-    document with the text of any of them for links, and one row each in the result. A null doc_id is linked with nothing.
+    document, linked by any of its texts, and one row each in the result. A null doc_id is linked with nothing.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -218,21 +291,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketches(docs).write.parquet(path)
     drawn = spark.read.parquet(path)
     members = drawn.select("doc_id", "n_shingles", "print")
-    classes = drawn.where("print is not null and doc_id is not null").select("print", "doc_id").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = drawn.join(classes.select(F.col("rep").alias("doc_id"), "print"), ["doc_id", "print"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "first", "sketch")
-    groups = components(candidates(reps, percent)).withColumnRenamed("id", "doc_id")
-    found = components(confirm(groups, docs, percent))
+    known = drawn.where("print is not null and doc_id is not null")
+    reps = cut(known.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "first")).alias("x")).select("print", "x.*"))
+    classes = reps.select("print", F.col("doc_id").alias("rep"))
+    again = repeated(known)
+    groups = components(candidates(reps, drawn, percent)).withColumnRenamed("id", "doc_id")
+    links = confirm(groups, docs, percent)
+    if again:
+        links = links.union(known.select("doc_id", "print").join(again, "doc_id").join(classes, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
     whole = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(whole, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def repeated(docs: DataFrame) -> DataFrame | None:
+    """The ids that several rows share; None where there are none."""
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    return None if again.isEmpty() else again
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: keeps one document of each group of near-duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs, 80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """Pipeline stage: keeps one document of each group of near-duplicates, the one with the smallest id, and one row of each id: that with the smallest text. Rows without an id all stay."""
+    gone = cut(near_duplicates(docs, 80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    left = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    again = repeated(left)
+    if again is None:
+        return left
+    again = again.withColumnRenamed("doc_id", "__again")
+    some = left.join(again, left["doc_id"] == F.col("__again"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+    return left.join(again, left["doc_id"] == F.col("__again"), "left_anti").unionByName(some.select("__row.*"))

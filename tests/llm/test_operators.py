@@ -188,6 +188,24 @@ def test_near_duplicates_of_hard_tables(spark, hard, empty):
     assert len(got) == 1 and got[0].kept and got[0].component_id is None
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_repeated_ids_are_one_document(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    a, b, c = (" ".join(words(200, k)) for k in (71, 72, 73))
+    table = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (9, b + " more"), (7, c), (7, c), (None, a), (8, None), (8, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).where("doc_id is not null").collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True), (9, 3, False), (9, 3, False)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in minhash.one_of_each(docs).collect()) == sorted([(3, a + " more"), (7, c), (8, ""), (0, a)])
+
+
+def test_components_fail_where_they_dont_settle(spark):
+    links = spark.createDataFrame([(k, (k * 7919 + 13) % 4001) for k in range(4000)], "a long, b long").repartition(16)
+    with pytest.raises(RuntimeError):
+        components(links, 0)
+    assert components(links).where("component > id").count() == 0
+
+
 def plain_repeats(texts, window=50):
     first, out = {}, {}
     for i in sorted(texts):
