@@ -33,9 +33,9 @@ SPANS, LEAST, MOST, MASK = (1, 2, 4, 8), 64, 2048, np.uint32(0xFF << 16)
 DIGEST = 16
 #: Words that a worker remembers, characters encoded together (at least one document), words of one text that the library gets.
 REMEMBERED, TOGETHER, LINE = 600_000, 4_000_000, 500
-#: Code points below this are classed alike by Python and the library.
-SURE = "Ԁ"
-TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word that starts a line or a text or neither: letters, and marks behind them. Code points from U+0500 on aren't sure to be classed alike by all libraries.
+SHAPE = r"^(?P<mark>[\n\r]?)(?P<head>\p{L}+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+UNSURE = r"[^\x{0}-\x{4FF}]"
 
 
 class Ragged:
@@ -110,13 +110,14 @@ class LibraryCoder:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(self, words: list[str], mark: str, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    def together(self, words: pa.Array, mark: str, letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of words that each stand after a mark; the mark's own id is left out where it is a line end."""
-        if not words:
+        if not len(words):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         coder = self.letters[mark] if letters else self.whole
-        lines = [mark + mark.join(words[k : k + LINE]) for k in range(0, len(words), LINE)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in coder.encode_batch_fast(lines, add_special_tokens=False)])
+        lines = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), LINE), len(words)).astype(np.int32)), words)
+        joined = pc.binary_join_element_wise(pa.scalar(mark), pc.binary_join(lines, mark), "").to_pylist()
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in coder.encode_batch_fast(joined, add_special_tokens=False)])
         starts = self.blank[ids] if mark == " " else ids == self.newline
         size = np.diff(np.append(np.flatnonzero(starts), len(ids)))
         if len(size) != len(words):
@@ -128,11 +129,19 @@ class LibraryCoder:
 
         A word starts with a line end where one stands before it, with a return where it is a text's first, and else follows a blank.
         """
-        plain = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
-        rest = np.flatnonzero(~plain)
-        first, second, line_end, whole = [], [], np.zeros(len(new), bool), np.zeros(len(new), bool)  # parts by word: a mark and the text
-        for k, w in zip(rest.tolist(), new.take(pa.array(rest)).to_pylist(), strict=True):
-            mark, part, more = " ", "", ""
+        found = pc.extract_regex(new, SHAPE)
+        usual = pc.and_(pc.is_valid(found), pc.invert(pc.match_substring_regex(new, UNSURE)))
+        for x in self.added:
+            usual = pc.and_(usual, pc.invert(pc.match_substring(new, x)))
+        before, head, tail = (pc.filter(pc.struct_field(found, k), usual) for k in range(3))
+        line_end, whole = np.zeros(len(new), bool), np.zeros(len(new), bool)
+        usual = usual.to_numpy(zero_copy_only=False)
+        line_end[usual] = pc.equal(before, "\n").to_numpy(zero_copy_only=False)
+        mark = pc.if_else(pc.equal(before, ""), " ", "\n")
+        one = [pc.binary_join_element_wise(mark, head, ""), pc.if_else(pc.equal(tail, ""), "", pc.binary_join_element_wise(pa.scalar("\n"), tail, ""))]
+        rest, other = np.flatnonzero(~usual), []
+        for k, w in zip(rest.tolist(), new.filter(pa.array(~usual)).to_pylist(), strict=True):
+            mark, part = " ", ""
             if w[:1] == "\n":
                 line_end[k], mark, w = True, "\n", w[1:]
             only = w[:1] == "\r"
@@ -141,36 +150,30 @@ class LibraryCoder:
             if (w.split() != [w] and not (only and not w)) or any(x in w for x in self.added):
                 line_end[k], whole[k] = False, True
             elif w:
-                head = w.rstrip(TAIL)
-                if len(head) < len(w) and head.isalpha() and max(head) < SURE:
-                    part, more = mark + head, "\n" + w[len(head) :]
-                else:
-                    part = mark + w
-            first.append(part), second.append(more)
-        ids, n = self.parts(pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), new.filter(pa.array(plain)), ""), pa.array(first, pa.string()), pa.array(second, pa.string())]))
+                part = mark + w
+            other.append(part)
+        ids, n = self.parts(pa.concat_arrays([*one, pa.array(other, pa.string())]))
         # line end, first part and second part of each word, one after the other; number 0 is an empty run
         flat, lengths = np.concatenate([[np.uint32(self.newline)], ids]).astype(np.uint32), np.concatenate([[0, 1], n])
-        at = np.zeros((len(new), 3), np.int64)
+        at, m = np.zeros((len(new), 3), np.int64), len(head)
         at[:, 0] = line_end
-        at[plain, 1] = 2 + np.arange(plain.sum())
-        at[rest, 1] = 2 + plain.sum() + np.arange(len(rest))
-        at[rest, 2] = 2 + len(new) + np.arange(len(rest))
+        at[usual, 1], at[usual, 2] = 2 + np.arange(m), 2 + m + np.arange(m)
+        at[rest, 1] = 2 + 2 * m + np.arange(len(rest))
         return gather(flat, lengths, at.ravel()), np.where(whole, -1, lengths[at].sum(1))
 
     def parts(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number of parts, each a mark and a word without white space."""
+        """Ids and their number of parts, each a mark and a word without white space; the empty part has none."""
 
         def spell(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            texts = new.to_pylist()
-            kinds = [x and (x[0], x[1:].isalpha() and (x.isascii() or max(x) < SURE)) for x in texts]
-            size, ids, order = np.zeros(len(texts), np.int64), [], []
-            for kind in itertools.product(" \n", (True, False)):
-                own = [k for k, x in enumerate(kinds) if x == kind]
-                found, n = self.together([texts[k][1:] for k in own], *kind)
-                size[own] = n
+            letters = pc.and_(pc.match_substring_regex(new, r"^[ \n]\p{L}+$"), pc.invert(pc.match_substring_regex(new, UNSURE))).to_numpy(zero_copy_only=False)
+            words, blank = pc.utf8_slice_codeunits(new, 1), pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+            empty = pc.equal(new, "").to_numpy(zero_copy_only=False)
+            size, ids, order = np.zeros(len(new), np.int64), [], [np.flatnonzero(empty)]
+            for mark, sure in itertools.product(" \n", (True, False)):
+                own = np.flatnonzero((blank == (mark == " ")) & (letters == sure) & ~empty)
+                found, size[own] = self.together(words.take(pa.array(own)), mark, sure)
                 ids.append(found), order.append(own)
-            order += [[k for k, x in enumerate(kinds) if not x]]
-            order = np.concatenate(order).astype(np.int64)
+            order = np.concatenate(order)
             return gather(np.concatenate(ids), size[order], np.argsort(order)), size
 
         coded = wanted.dictionary_encode()
@@ -274,7 +277,7 @@ def slices(texts: pa.Array, most: int):
         a = b
 
 
-OBJECTS = "key binary, kind int, doc_id long, n long, payload binary, sizes binary"
+OBJECTS = "key binary, kind int, seq long, doc_id long, n long, payload binary, sizes binary"
 RECIPES = "part int, place long, doc_id long, before long, n long, key binary, payload binary, sizes binary"
 
 
@@ -284,13 +287,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     Each task sends a chunk once; a shuffle by name leaves one copy of each. Recipes are then dealt by ranges of doc_id.
     """
     spark = docs.sparkSession
-    wide = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("sizes", pa.binary())])
+    wide = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("sizes", pa.binary())])
 
     @tidied
     def run(batches):
+        from pyspark import TaskContext
+
         coder = library_coder(tokenizer)
         kind = "<u2" if coder.vocabulary <= 1 << 16 else "<u4"
         sent: set[bytes] = set()
+        seq = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for a, b in slices(texts, TOGETHER):
@@ -307,23 +313,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                         names.append(name := digest(data))
                         if name not in sent:
                             sent.add(name)
-                            rows.append((name, 0, None, end - begin, data, None))
+                            rows.append((name, 0, None, None, end - begin, data, None))
                         begin = end
-                    rows.append((merkle(names), 1, doc_id, stop - start, b"".join(names), np.diff([start, *ends]).astype("<u4").tobytes()))
+                    rows.append((merkle(names), 1, seq := seq + 1, doc_id, stop - start, b"".join(names), np.diff([start, *ends]).astype("<u4").tobytes()))
                     start = stop
                 if len(sent) > 1_000_000:
                     sent.clear()  # the shuffle still leaves one copy
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), wide, strict=True)], schema=wide)
 
-    def once(batches):
-        last = None
-        for batch in batches:
-            keep = []
-            for key, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keep.append(k == 1 or key != last)
-                last = key if k == 0 else last
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
     def number(batches):
         from pyspark import TaskContext
 
@@ -335,8 +332,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             place, before = place + m, before + int(n.sum())
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OBJECTS)
-    dealt = rows.repartition(4 * partitions(spark), F.when(F.col("kind") == 0, F.hash("key")).otherwise(F.hash("doc_id", "key"))).sortWithinPartitions("kind", "key", "doc_id")
-    dealt.mapInArrow(once, OBJECTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    # a recipe has a number of its own, a chunk none: one row of each chunk is left
+    once = ["kind", "key", "seq"]
+    rows.repartition(4 * partitions(spark), *once).sortWithinPartitions(*once).dropDuplicates(once).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
     staged = objects(spark, path).where("kind = 1").select("doc_id", "n", "key", "payload", "sizes")
     staged.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(number, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
