@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.operators import kernels, metrics, packets, picks, relational
+from loomframe.operators import kernels, metrics, packets, picks, relational, tiles
 from loomframe.plans.oracles import ORACLE_SQL as _SQL
 from loomframe.plans.relations import relation
 
@@ -44,7 +44,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.quantise(kernels.dct(spark, relation(spark, sf_dir, "blocks")), 16)
+    return kernels.quantise(tiles.dct(relation(spark, sf_dir, "tiles")), 16)
 
 
 def top(table: str, time: str, key: str, *columns: str) -> Query:
@@ -188,7 +188,7 @@ QUERIES: dict[str, Query] = {
     "block_activity": lambda spark, sf_dir: kernels.activity(metrics.clip(spark, "bars", 64, 64, 4), 64, 64),
     "sad_search": lambda spark, sf_dir: square(spark),
     "mv_predict_delta": lambda spark, sf_dir: kernels.predicted(square(spark)),
-    "dct8": lambda spark, sf_dir: kernels.dct(spark, relation(spark, sf_dir, "blocks")),
+    "dct8": over(tiles.dct, "tiles"),
     "quantise": levels,
     "zigzag_scan": lambda spark, sf_dir: spark.range(64).select(F.expr("id div 8").alias("ky"), F.expr("id % 8").alias("kx")).select("ky", "kx", kernels.zigzag_place().alias("place")),
     "residual_class": over(kernels.residual_class, "blocks"),
@@ -219,6 +219,15 @@ QUERIES: dict[str, Query] = {
     "codec_playable": over(packets.playable, "tracks"),
     "primary_rows": over(picks.primary, "sweep_rows", wanted="auto-fast"),
     "compression_ratios": over(picks.ratios, "sweep_rows", raw=6_144),
+    "idct8": over(tiles.idct, "tiles"),
+    "dct4": over(tiles.dct4, "tiles"),
+    "deblock_plane": over(tiles.deblock, "tiles"),
+    "intra_pick": over(tiles.intra, "tiles"),
+    "transform_choice": over(tiles.transform_choice, "tiles"),
+    "scan_orders": over(tiles.scans, "tiles"),
+    "residual_tokens": over(tiles.tokens, "tiles"),
+    "coefficient_bytes": over(tiles.coefficient_bytes, "tiles"),
+    "colour_planes": over(tiles.colours, "tiles"),
 }
 
 ORACLE_SQL: dict[str, str] = {k: v for k, v in _SQL.items() if k in QUERIES}

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,15 +63,6 @@ def predicted(vectors: DataFrame) -> DataFrame:
     return d.select("frame", "by", "bx", "dx", "dy", zig("dx").alias("zx"), zig("dy").alias("zy"), (size(zig("dx")) + size(zig("dy"))).cast("long").alias("bytes"), (bucket("dx") * 4 + bucket("dy")).cast("long").alias("context"))
 
 
-def dct(spark: SparkSession, blocks: DataFrame, orthonormal: bool = False) -> DataFrame:
-    """Two passes of an 8-point cosine transform, scaled by alpha / sqrt(8) as stored streams are, or orthonormal."""
-    scale = 0.5 if orthonormal else 1 / math.sqrt(8)
-    basis = spark.createDataFrame([(n, k, scale * (math.sqrt(0.5) if k == 0 else 1.0) * math.cos(math.pi / 16 * k * (2 * n + 1))) for n in range(8) for k in range(8)], "n long, k long, c double")
-    rows = blocks.join(F.broadcast(basis), F.col("x") == F.col("n")).groupBy("block", "y", "k").agg(F.sum(F.col("v") * F.col("c")).alias("t")).withColumnRenamed("k", "kx")
-    both = rows.join(F.broadcast(basis), F.col("y") == F.col("n")).groupBy("block", "k", "kx").agg(F.sum(F.col("t") * F.col("c")).alias("c"))
-    return both.select("block", F.col("k").alias("ky"), "kx", F.round("c", 6).alias("c"))
-
-
 def quantise(coefficients: DataFrame, qp: int) -> DataFrame:
     """Whole coefficients (halves away from 0) divided by the step with rounding away from 0, and scaled back."""
     whole = F.when(F.col("c") < 0, -F.floor(-F.col("c") + 0.500001)).otherwise(F.floor(F.col("c") + 0.500001))

@@ -160,5 +160,46 @@ SQL |= {
     "primary_rows": "select clip // 500 as clips, clip, line, part, inter_partition, bytes from sweep_rows where ok qualify row_number() over (partition by clip // 500 order by inter_partition = 'auto-fast' desc, bytes, clip, line, part) = 1",
     "compression_ratios": "select qp, round(count(*) * 6144.0 / greatest(sum(bytes), 1), 6) as ratio, round(count(*) / greatest(sum(psnr), 1e-9), 6) as fps from sweep_rows group by qp",
 }
+
+NEAR = "case when {0} < 0 then -floor(-({0}) + 0.500001) else floor({0} + 0.500001) end"
+WHOLE = f"select block, ky, kx, ky * 8 + kx as p, cast({NEAR.format('c')} as bigint) as w from ({DCT})"
+BASIS = "(select n, k, case when k = 0 then sqrt(0.5) else 1 end / sqrt({0}) * cos(pi() / (2 * {0}) * k * (2 * n + 1)) as c from range({0}) a(n), range({0}) b(k))"
+PLANE = "select block, p, v, block // 8 * 8 + y as gy, block % 8 * 8 + x as gx from blocks"
+SOFT = "case when {1} is null or abs({0} - {1}) > 48 then {0} else ({0} * 224 + ({0} + {1} + 1) // 2 * 32) // 256 end"
+BYTE = "cast(least(greatest(floor(round({0}, 6) + 0.5), 0), 255) as bigint)"
+SQL |= {
+    "idct8": f"""select w.block, y.n as y, x.n as x, round(sum(w.w * x.c * y.c), 6) as s from ({WHOLE}) w join {BASIS.format(8)} x on x.k = w.kx join {BASIS.format(8)} y on y.k = w.ky group by all""",
+    "dct4": f"""with c as (select b.block, b.y // 4 * 2 + b.x // 4 as quadrant, y.k as ky, x.k as kx, round(sum(b.v * x.c * y.c), 6) as c from blocks b join {BASIS.format(4)} x on x.n = b.x % 4 join {BASIS.format(4)} y on y.n = b.y % 4 group by all),
+      s as (select block, quadrant, y.n as y, x.n as x, round(sum({NEAR.format('c.c')} * x.c * y.c), 6) as s from c join {BASIS.format(4)} x on x.k = c.kx join {BASIS.format(4)} y on y.k = c.ky group by all)
+      select c.block, c.quadrant, ky * 4 + kx as k, c.c, s.s from c join s on s.block = c.block and s.quadrant = c.quadrant and s.y = c.ky and s.x = c.kx""",
+    "deblock_plane": f"""with q as ({PLANE}), a as (select *, case when gx % 8 = 0 then lag(v) over w when gx % 8 = 7 then lead(v) over w end as o from q window w as (partition by gy order by gx)),
+      b as (select block, p, v as before, gy, gx, {SOFT.format("v", "o")} as v from a), c as (select *, case when gy % 8 = 0 then lag(v) over w when gy % 8 = 7 then lead(v) over w end as o from b window w as (partition by gx order by gy)),
+      d as (select block, p, before, {SOFT.format("v", "o")} as v from c) select block, cast(sum(v * (p + 1)) as bigint) as weighted, cast(sum(abs(v - before)) as bigint) as moved from d group by block""",
+    "intra_pick": """with n as (select b.block, b.v, coalesce(l.v, 128) as l, coalesce(t.v, 128) as t, coalesce(c.v, 128) as c from blocks b left join blocks l on l.block = b.block - 1 and b.block % 8 > 0 and l.x = 7 and l.y = b.y
+        left join blocks t on t.block = b.block - 8 and t.y = 7 and t.x = b.x left join blocks c on c.block = b.block - 9 and b.block % 8 > 0 and c.p = 63),
+      d as (select *, (sum(l) over (partition by block) // 8 + sum(t) over (partition by block) // 8) // 16 as dc from n),
+      s as (select block, unnest([{'k': 0, 'mode': 'dc', 'sad': sum(abs(v - dc))}, {'k': 1, 'mode': 'horizontal', 'sad': sum(abs(v - l))}, {'k': 2, 'mode': 'vertical', 'sad': sum(abs(v - t))}, {'k': 3, 'mode': 'planar', 'sad': sum(abs(v - (t + l) // 2))},
+        {'k': 4, 'mode': 'diagonal', 'sad': sum(abs(v - least(greatest(t + l - c, 0), 255)))}]) as o from d group by block)
+      select block, o.mode as mode, cast(o.sad as bigint) as sad from s qualify row_number() over (partition by block order by o.sad, o.k) = 1""",
+    "transform_choice": f"""with e as (select block, p, y, x, v - 128 as v, abs(v - lag(v) over r) as a, abs(lead(v) over r - v) as b, abs(v - lag(v) over c) as d, abs(lead(v) over c - v) as e from blocks window r as (partition by block, y order by x), c as (partition by block, x order by y)),
+      g as (select block, round(greatest(sum(v * v) / 64.0 - (sum(v) / 64.0) * (sum(v) / 64.0), 0), 6) as variance, round(sum((coalesce(a, 0) + coalesce(b, 0) + coalesce(d, 0) + coalesce(e, 0)) / ((a is not null)::int + (b is not null)::int + (d is not null)::int + (e is not null)::int)), 6) as laplacian from e group by block),
+      q as (select block, round(max(u), 6) as quarter from (select block, greatest(sum(v * v) / 16.0 - (sum(v) / 16.0) * (sum(v) / 16.0), 0) as u from e group by block, y // 4, x // 4) group by block),
+      w as (select block, count_if(w <> 0) as nonzero, 63 - coalesce(max(place) filter (w <> 0), -1) as tail from (select *, {PLACE} as place from ({WHOLE.replace("from blocks", "from (select block, y, x, v - 128 as v from blocks)")})) group by block)
+      select block, variance, laplacian, quarter, nonzero, tail, case when variance >= 400 or laplacian >= 5000 or quarter * 64 >= 5000 then 'four4x4' else 'single8x8' end as grouping, case when tail >= 48 then 'run_first' when nonzero <= 8 then 'low_first' else 'zigzag' end as scan from g join q using (block) join w using (block)""",
+    "scan_orders": f"""select block, sha256(string_agg(cast(w as varchar), ' ' order by {PLACE})) as zigzag, sha256(string_agg(cast(w as varchar), ' ' order by ky + kx, p)) as low_first, sha256(string_agg(cast(w as varchar), ' ' order by w = 0, {PLACE})) as run_first, true as restored from ({WHOLE}) group by block""",
+    "residual_tokens": f"""with l as (select block, {PLACE} as place, (abs(w) + 8) // 16 * cast(sign(w) as bigint) as level from ({WHOLE})), a as (select * from l where place > 0),
+      r as (select block, place, place - lag(place, 1, 0) over (partition by block order by place) - 1 as zeros, level from a where level <> 0), t as (select block, 64 as place, 63 - coalesce(max(place) filter (level <> 0), 0) as zeros, null as level from a group by block),
+      s as (select block, place, repeat('62 ', (zeros // 62)::int) || case when zeros % 62 > 0 then (zeros % 62) || ' ' else '' end || case when level is null then '317' when level > 0 then (2 * level + 62) || ' ' else (-2 * level - 1 + 62) || ' ' end as said from (select * from r union all select * from t)),
+      j as (select block, string_agg(said, '' order by place) as symbols from s group by block) select block, len(string_split(symbols, ' ')) as n, symbols, true as restored from j""",
+    "coefficient_bytes": f"""select blocks, cast(sum(plain) as bigint) as plain, cast(sum(compact) as bigint) as compact, cast(sum(plain) - sum(compact) as bigint) as saved, round(100.0 * (sum(plain) - sum(compact)) / sum(plain), 6) as percent from (
+      select block // 64 as blocks, (sum(case when w = 0 then 2 else 4 + length(bin(abs(w))) end) + 7) // 8 + 10 as plain, 18 + 2 * count_if(w <> 0) as compact from ({WHOLE}) group by block) group by blocks""",
+    "colour_planes": f"""with t as (select trio, p, p // 8 as y, p % 8 as x, cast(a as double) as r, cast(b as double) as g, cast(c as double) as b, cast(0.2126 as double) * a + cast(0.7152 as double) * b + cast(0.0722 as double) * c as l from ({TRIO})),
+      f as (select *, (b - l) / cast(1.8556 as double) as cb, (r - l) / cast(1.5748 as double) as cr from t),
+      q as (select trio, y // 2 * 4 + x // 2 as q, {", ".join(BYTE.format(f"avg({BYTE.format(f'{c} * {k} + 128')})") + f" as {n}" for n, c, k in (("u", "cb", "1.0::double"), ("v", "cr", "1.0::double"), ("lu", "cb", "(224.0::double / 255)"), ("lv", "cr", "(224.0::double / 255)")))} from f group by all),
+      m as (select trio, sum(u * (q + 1)) as u, sum(v * (q + 1)) as v, sum(lu * (q + 1)) as lu, sum(lv * (q + 1)) as lv from q group by trio),
+      k as (select f.trio, p, {BYTE.format("l")} as y, {BYTE.format("l * (219.0::double / 255) + 16")} as ly, q.u - 128 as u, q.v - 128 as v from f join q on q.trio = f.trio and q.q = f.y // 2 * 4 + f.x // 2),
+      n as (select trio, sum(y * (p + 1)) as y, sum(ly * (p + 1)) as ly, sum({BYTE.format("y + 1.5748::double * v")} * (p + 1)) as red, sum({BYTE.format("y - 0.1873::double * u - 0.4681::double * v")} * (p + 1)) as green, sum({BYTE.format("y + 1.8556::double * u")} * (p + 1)) as blue from k group by trio)
+      select trio, {", ".join(f"cast({c} as bigint) as {c}" for c in ("y", "u", "v", "ly", "lu", "lv", "red", "green", "blue"))} from m join n using (trio)""",
+}
 SQL["sweep_grid_quick"] = f"select * from ({SQL['sweep_grid']}) where qp <= 22"
 ORACLE_SQL = {k: oracle(v) for k, v in SQL.items()}

@@ -18,11 +18,13 @@ DIALECTS = {
         "us": lambda c: f"unix_micros(cast({c} as timestamp))",
         "k": lambda c: f"cast(get_json_object({c}, '$.k') as bigint)",
         "pixels": lambda c: f"posexplode({c}) as (p, e)",
+        "samples": lambda c: f"transform({c}, e -> cast(least(255, greatest(0, floor((cast(e as double) + 1) * 127.5))) as bigint))",
     },
     "duckdb": {
         "us": lambda c: f"epoch_us({c})",
         "k": lambda c: f"cast(json_extract_string({c}, '$.k') as bigint)",
         "pixels": lambda c: f"unnest(range(64)) as p, unnest({c}) as e",
+        "samples": lambda c: f"list_transform({c}, lambda e: cast(least(255, greatest(0, floor((cast(e as double) + 1) * 127.5))) as bigint))",
     },
 }
 
@@ -60,6 +62,7 @@ RELATIONS = {
         cast(floor(l_extendedprice) as bigint) as bytes, 1 - l_discount as ssim, l_quantity as psnr, l_tax > 0.01 as ok from {lineitem}""",
     "blocks": """select block, cast(p as bigint) as p, cast(p as bigint) div 8 as y, cast(p as bigint) % 8 as x, cast(least(255, greatest(0, floor((cast(e as double) + 1) * 127.5))) as bigint) as v
         from (select vec_id as block, {pixels:embedding} from {embeddings})""",
+    "tiles": """select vec_id as block, {samples:embedding} as v from {embeddings} where embedding is not null""",
     "audio": """select block as stream, p, cast(trunc_e as bigint) as s from (select block, p, floor(cast(e as double) * 32767) as trunc_e from (select vec_id as block, {pixels:embedding} from {embeddings}))""",
 }
 
