@@ -7,28 +7,33 @@ direction by a normal variable of known deviation, so the window of WIDE deviati
 fixes the chance of a collision and the binomial distribution the least count that pairs
 at the threshold reach with probability RECALL. Pairs that reach it are verified.
 
-Equal vectors form a class and are compared once. Blocks of ROWS classes are cut by
-quantiles of the first projection; blocks too far apart there aren't compared.
+Equal vectors form a class and are compared once. Classes are sorted by the first
+projection and cut into blocks of up to ROWS; blocks too far apart there aren't compared.
+Pairs are counted within pairs of blocks, in memory, and never written out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import by_key, cut, table
+from loomframe.llm.common import by_key, cut, partitions, table
 from loomframe.llm.components import Forest, components
 
-PROJECTIONS, WIDE, RECALL, ROWS = 32, 1.5, 0.9995, 3072
+PROJECTIONS, WIDE, RECALL, ROWS = 32, 1.5, 0.9995, 16_384
+#: Pairs of blocks for each shuffle partition, while blocks stay below ROWS: more of them keep more tasks busy, fewer copy less.
+UNITS = 6
 #: Deviations on the first projection beyond which blocks aren't compared.
 FAR = 4.0
 
 
+@lru_cache(maxsize=64)
 def directions(dim: int) -> np.ndarray:
     """Random directions of independent normal parts, for any number of parts."""
     return np.random.default_rng([dim, 9_001]).standard_normal((PROJECTIONS, dim)) / math.sqrt(dim)
@@ -62,6 +67,14 @@ def collisions(queries: np.ndarray, others: np.ndarray, width: float) -> np.ndar
     return count
 
 
+def blocks_of(classes: DataFrame, n: int, spark: SparkSession) -> np.ndarray:
+    """Values of the first projection between blocks of about as many classes."""
+    few = math.isqrt(2 * UNITS * partitions(spark))
+    blocks = max(-(-n // ROWS), min(few, -(-n // 1024)))
+    found = classes.select(F.percentile_approx("first", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))).first()[0] if blocks > 1 else []
+    return np.unique(np.array(found, np.float64))
+
+
 def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding).
 
@@ -90,22 +103,32 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     valid = ready.where("print is not null and vec_id is not null")
     classes = cut(valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("dim").alias("dim"), F.first("first").alias("first"), F.first("vector").alias("vector")))
 
-    reach = {r.dim: r for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    units = None
-    for dim, r in sorted(reach.items()):
-        blocks = max(1, -(-r.n // ROWS))
-        own = classes.where(F.col("dim") == dim)
-        edges = own.select(F.percentile_approx("first", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))).first()[0] if blocks > 1 else []
-        far = FAR * deviation(threshold, dim)
-        low, high = [-math.inf, *edges], [*edges, math.inf]
-        near = [[j for j in range(blocks) if low[max(i, j)] - high[min(i, j)] <= far] for i in range(blocks)]
-        # place among the edges, and the blocks that a block meets: both lists have as many entries as there are blocks
-        place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("first"))) if edges else F.lit(0)
-        meets = F.array(*[F.array(*map(F.lit, x)) for x in near])
-        dealt = own.withColumn("block", place.cast("int")).withColumn("other", F.explode(meets[F.col("block")]))
-        some = dealt.select("dim", "rep", "size", "vector", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        units = some if units is None else units.union(some)
-    if units is None:
+    edges = {r.dim: blocks_of(classes.where(F.col("dim") == r.dim), r.n, spark) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a few numbers for each block go to all tasks, outside the plan
+    sent = spark.sparkContext.broadcast({dim: (e, FAR * deviation(threshold, dim)) for dim, e in edges.items()})
+
+    def meet(batches):
+        """Each row with every pair of blocks that its own is in."""
+        for batch in batches:
+            at, block, other = [], [], []
+            for k, (dim, x) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                e, far = sent.value[dim]
+                own = int(np.searchsorted(e, x, "left"))
+                low, high = (e[own - 1] if own else -math.inf), (e[own] if own < len(e) else math.inf)
+                # blocks whose ranges come within reach of this one's
+                near = range(int(np.searchsorted(e, low - far, "left")), int(np.searchsorted(e, high + far, "right")) + 1)
+                at += [k] * len(near)
+                block += [own] * len(near)
+                other += near
+            for a in range(0, len(at), 20_000):
+                some, own, them = np.array(at[a : a + 20_000], np.int64), np.array(block[a : a + 20_000], np.int32), np.array(other[a : a + 20_000], np.int32)
+                i, j = np.minimum(own, them), np.maximum(own, them)
+                t = batch.take(pa.array(some))
+                unit = pa.array([f"{d}-{x}-{y}" for d, x, y in zip(t.column(2).to_pylist(), i.tolist(), j.tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (0, 1, 2, 4)), pa.array(own), pa.array(i), pa.array(j), unit], ["rep", "size", "dim", "vector", "block", "i", "j", "unit"])
+
+    units = classes.select("rep", "size", "dim", "first", "vector").mapInArrow(meet, "rep long, size long, dim int, vector binary, block int, i int, j int, unit string")
+    if not edges:
         return ready.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     least = least_count()
 
@@ -140,7 +163,7 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             none = [None] * len(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([*rep[on].tolist(), *none], pa.int64()), pa.array([*n[on].astype(np.int64).tolist(), *none], pa.int64()), pa.array([None] * len(on) + [a for a, _ in pairs], pa.int64()), pa.array([None] * len(on) + [b for _, b in pairs], pa.int64())], ["rep", "n", "a", "b"])
 
-    found = cut(by_key(units.withColumn("unit", F.concat_ws("-", "dim", "i", "j")), "unit", run, "rep long, n long, a long, b long"))
+    found = cut(by_key(units, "unit", run, "rep long, n long, a long, b long"))
     more = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("more"))
     whole = components(found.where("a is not null").select("a", "b")).withColumnRenamed("id", "rep")
     told = classes.select("print", "rep", "size").join(more, "rep", "left").join(whole, "rep", "left").select("print", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

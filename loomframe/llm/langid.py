@@ -23,6 +23,9 @@ ROUNDS = 12
 PENALTY = 3.0
 SMOOTH = 0.05
 UNKNOWN = "und"
+#: Part of a document's trigrams, none of which any learned language has, beyond which the pipeline rejects it.
+MOST_UNSEEN = 0.5
+ADDED = ("lang_pred", "score", "languages", "unseen")
 
 _letters = None
 
@@ -54,7 +57,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
     """Languages, the slots seen, and log P(slot | language); the last row is that of unseen slots.
 
     Each task sums its rows, so one row per language, slot and task is shuffled. The
-    result is bounded by SLOTS rows for each language.
+    result, which the driver gets, is bounded by SLOTS rows for each different value of lang.
     """
 
     @tidied
@@ -90,11 +93,11 @@ def mixture(counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(counts @ (np.log(share @ p) + top))
 
 
-def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The chosen languages, largest first, and their proportions."""
+def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray, float]:
+    """The chosen languages, largest first, their proportions, and the proportion of the first in the mixture of all languages."""
     singles = counts @ logp
     chosen = [int(singles.argmax())]
-    share, now = np.ones(1), float(singles.max())
+    share, now, full = np.ones(1), float(singles.max()), np.ones(1)
     if logp.shape[1] > 1:
         full, best = mixture(counts, logp)
         penalty = PENALTY * np.log(1 + counts.sum())
@@ -105,16 +108,19 @@ def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray]:
             if ll - now > penalty:
                 chosen, share, now = [*chosen, int(k)], more, ll
     order = np.argsort(-share, kind="stable")
-    return [chosen[i] for i in order], share[order]
+    return [chosen[i] for i in order], share[order], float(full[chosen[order[0]]])
 
 
 def identify(docs: DataFrame, model: tuple, text: str = "text", keep: bool = False) -> DataFrame:
-    """Adds lang_pred, score and languages (name and proportion of each chosen language) to the other columns, and to the text if it is kept.
+    """Adds lang_pred, score, languages (name and proportion of each chosen language) and unseen to the other columns, and to the text if it is kept.
 
-    A null text, one without letters, or a model without languages gives
-    `und`, score 0 and no languages. Each row is judged alone, repeated rows alike.
-    The whole text is read.
+    score is the proportion of lang_pred in the mixture of all languages, before the penalty
+    leaves any out; unseen is the part of the trigrams that no language was learned with.
+    A null text or one without letters gives `und`, score 0, no languages and no value of unseen;
+    a model without languages `und`, 0, none and 1. Each row is judged alone, repeated rows alike.
+    The whole text is read. Columns of these names in docs are replaced.
     """
+    docs = docs.drop(*ADDED)
     names, slots, logp = model
     sent = docs.sparkSession.sparkContext.broadcast((names, slots, logp.astype(np.float32)))
     at = docs.columns.index(text)
@@ -128,30 +134,35 @@ def identify(docs: DataFrame, model: tuple, text: str = "text", keep: bool = Fal
         where[slots] = np.arange(len(slots))
         logp = logp.astype(float)
         for batch in batches:
-            pred, score, kinds = [], [], []
+            pred, score, kinds, unseen = [], [], [], []
             for t in batch.column(at).to_pylist():
                 g = trigrams(t) if t else ()
                 if not len(g) or not names:
-                    pred.append(UNKNOWN), score.append(0.0), kinds.append([])
+                    pred.append(UNKNOWN), score.append(0.0), kinds.append([]), unseen.append(1.0 if len(g) else None)
                     continue
                 seen, n = np.unique(where[g], return_counts=True)
-                who, share = infer(n.astype(float), logp[seen])
-                pred.append(names[who[0]]), score.append(min(1.0, float(share[0]))), kinds.append([{"lang": names[k], "share": float(s)} for k, s in zip(who, share, strict=True)])
+                who, share, most = infer(n.astype(float), logp[seen])
+                unseen.append(float(n[seen == len(slots)].sum() / n.sum()))
+                pred.append(names[who[0]]), score.append(min(1.0, most)), kinds.append([{"lang": names[k], "share": float(s)} for k, s in zip(who, share, strict=True)])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kinds, kind)], [*rest, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kinds, kind), pa.array(unseen, pa.float64())], [*rest, *ADDED])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{docs.columns[k]}` {docs.dtypes[k][1]}" for k in kept), "lang_pred string, score double, languages array<struct<lang:string,share:double>>"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{docs.columns[k]}` {docs.dtypes[k][1]}" for k in kept), "lang_pred string, score double, languages array<struct<lang:string,share:double>>, unseen double"]))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held(2, 4)))
-    return identify(docs.select("doc_id", held(2, 4).alias("held_out"), "text"), model)
+    return identify(docs.select("doc_id", held(2, 4).alias("held_out"), "text"), model).drop("unseen")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: drops documents for which no language can be told (no letter at all); learns from all rows."""
+    """Pipeline stage: drops documents without a letter, and those of which over MOST_UNSEEN of the trigrams are in no learned language.
+
+    Learns from all rows with a language. Where no row has one, every document with a letter stays. Rows are judged alone, so repeated rows share their fate.
+    """
     model = fit(docs)
     plain = docs.select(*[F.col(c).alias(f"__{c}") for c in docs.columns])
-    tagged = identify(plain, model, "__text", keep=True)
-    return tagged.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+    tagged = identify(plain, model, "__text", keep=True).where("unseen is not null")
+    known = tagged.where(F.col("unseen") <= MOST_UNSEEN) if model[0] else tagged
+    return known.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])

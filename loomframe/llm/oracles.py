@@ -3,22 +3,15 @@
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 TOKENS = r"coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), [])"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-KEPT = {0: (0, 1, 3, 6, 7, 8), 1: (0, 1, 2, 4, 5, 8)}
-
-
-def seeds(table: str, key: str) -> str:
-    keys = ", ".join("concat_ws('|', '{0}', {1})".format(m, ", ".join(f"w[i + {k}]" for k in kept)) for m, kept in KEPT.items())
-    return f"select {key}, i, unnest([{keys}]) as seed from (select {key}, w, unnest(range(1, len(w) - 7)) as i from {table})"
-
 
+#: Every diagonal of every document and item, without seeds.
 DECONTAMINATE = f"""with d as (select doc_id, {TOKENS} as w from documents where doc_id is not null), b as (select item_id, {TOKENS} as w from benchmark where item_id is not null),
-  ds as ({seeds("d", "doc_id")}), bs as ({seeds("b", "item_id")}),
-  hits as (select distinct doc_id, item_id, ds.i - bs.i as diagonal from ds join bs using (seed)),
-  cells as (select doc_id, item_id, diagonal, k, len(b.w) as n, least(16, len(b.w)) as wide, case when k + diagonal >= 1 and b.w[k] = d.w[k + diagonal] then 1 else 0 end as same
-    from hits join d using (doc_id) join b using (item_id), lateral (select unnest(range(1, len(b.w) + 1)) as k)),
-  sums as (select doc_id, item_id, n, wide, k, sum(same) over (partition by doc_id, item_id, diagonal order by k rows between current row and 15 following) as matched from cells),
-  best as (select doc_id, item_id, n, wide, max(matched) as matched from sums where k <= n - wide + 1 group by doc_id, item_id, n, wide)
-  select doc_id, item_id, cast(n as integer) as n_item, cast(wide as integer) as n_window, cast(matched as integer) as n_matched, matched / wide as share from best where matched / wide >= 0.75"""
+  dw as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as i from d), bw as (select item_id, len(w) as n, unnest(w) as t, generate_subscripts(w, 1) as k from b),
+  cells as (select doc_id, item_id, n, least(16, n) as wide, i - k as diagonal, k from dw join bw using (t)),
+  live as (select doc_id, item_id, diagonal from cells group by doc_id, item_id, diagonal, n, wide having count(*) >= case when n < 9 then n else 0.75 * wide end),
+  sums as (select doc_id, item_id, n, wide, count(*) over (partition by doc_id, item_id, diagonal order by k range between current row and 15 following) as matched from cells semi join live using (doc_id, item_id, diagonal)),
+  best as (select doc_id, item_id, n, wide, max(matched) as matched from sums group by doc_id, item_id, n, wide)
+  select doc_id, item_id, cast(n as integer) as n_item, cast(wide as integer) as n_window, cast(matched as integer) as n_matched, matched / wide as share from best where matched / wide >= case when n < 9 then 1.0 else 0.75 end"""
 
 SUBSTRING = rf"""with d as (select doc_id, coalesce({WORDS.format("text")}, []) as w from documents),
   g as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),

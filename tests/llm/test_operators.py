@@ -385,10 +385,26 @@ def test_toxicity(spark, hard, empty):
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
 
 
-def test_grammar_sorts_by_context():
+def test_grammar_scores_clauses_by_context():
     w = toxicity.Words({"dolt": 2.0})
-    plain, aimed, denied, told = (toxicity.features(t, w) for t in ("what a dolt", "you are a dolt", "that is not a dolt", "she said quite loudly dolt"))
-    assert plain[0] > 0 and aimed[1] > 0 and denied[2] > 0 and told[4] + told[5] > 0
+
+    def read(t):
+        return toxicity.clauses([w[x] for x in t.lower().split()])
+
+    assert read("what a dolt.") == [(2.0, 0, False)] and read("you are a dolt") == [(4.0, 1, False)]
+    assert read("you are not a dolt") == [(1.0, 3, False)] and read("that is not a dolt, dolt!") == [(0.5, 2, False), (2.0, 0, False)]
+    assert read("he said: you are a dolt. You") == [(2.0, 5, False)] and read("she said, that dolt") == read("she said quite loudly dolt") != []
+    assert read("I will kill you.") == [(2.0, 1, True)] and read("I will never kill you") == [(0.5, 3, True)] and read("they hurt you") == [(1.0, 1, True)]
+    assert read("kill the lights") == [] and read("you are here") == [] and read("") == []
+    # a machine of states against a plain reading of the last words
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        kinds = r.integers(0, 7, 20).tolist()
+        state = 0
+        for k, c in enumerate(kinds):
+            want = sum((trigger in kinds[max(0, k - reach) : k]) << bit for bit, (trigger, reach) in enumerate(((toxicity.TARGET, 4), (toxicity.NEGATION, 3), (toxicity.REPORT, 12))))
+            assert toxicity.CONTEXT[state] == want
+            state = toxicity.STEP[state][c]
 
 
 def test_licences(spark, empty):
