@@ -22,7 +22,7 @@ from loomframe.llm.common import table, tidied
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of one matrix, and pieces and chunks that a worker remembers, at most.
-CELLS, REMEMBERED = 2_000_000, 400_000
+CELLS, REMEMBERED = 2_000_000, 200_000
 #: Characters of the documents encoded together, at least one document.
 TOGETHER = 4_000_000
 
@@ -88,6 +88,11 @@ class Coder:
         self.pieces: dict[str, tuple[str, bytes]] = {}
         self.chunks: dict[str, tuple[str, bytes] | None] = {}
 
+    def forget(self) -> None:
+        """Drops what was remembered, so that a worker holds none of it through other stages."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     def merge(self, ids: np.ndarray) -> list[bytes]:
         """Merges every row of a matrix padded with -1, and packs its ids."""
         out: list = [None] * len(ids)
@@ -249,7 +254,11 @@ def pieces_of(texts: list[str], most: int) -> Iterable[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Replaces the text column by n_tokens and ids. Null or empty text: no ids. Every row is encoded alone and whole."""
+    """Replaces the text column by n_tokens and ids, in place of columns of these names. Null or empty text: no ids.
+
+    Every row is encoded alone and whole, and fails unless its ids decode to its bytes; repeated rows are encoded alike.
+    """
+    docs = docs.drop("n_tokens", "ids")
     keep = [c for c in docs.columns if c != text]
 
     @tidied
@@ -259,16 +268,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in pieces_of(texts, TOGETHER):
                 rows = [np.frombuffer(b"".join([x[1] for x in doc]), np.int32) for doc in c.encode(texts[a:b])]
+                if any(c.decode(r) != t.encode() for r, t in zip(rows, texts[a:b], strict=True)):
+                    raise ValueError("ids don't decode to their text")
                 sizes = np.array([len(r) for r in rows])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(sizes), ids], [*keep, "n_tokens", "ids"])
+        c.forget()
 
     schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes if c != text), "n_tokens long, ids array<int>"])
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Replaces ids by the bytes they stand for, as text. A null list gives the empty text; an unknown id fails."""
+    """Replaces ids by the bytes they stand for, as text, in place of a column of that name. A null list gives the empty text; an unknown id fails."""
+    encoded = encoded.drop("text")
     keep = [c for c in encoded.columns if c != ids]
 
     @tidied
@@ -298,6 +311,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     said.append(hashlib.sha256(" ".join([x[0] for x in doc]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -159,8 +159,9 @@ def words_within(low: str, spans: list[tuple[int, int]]) -> int:
 def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES, full: dict[str, str] = FULL) -> DataFrame:
     """Adds license, score and is_file to the other columns of docs, in place of the text: the best line's or window's template if its cosine reaches COSINE, or the full licence that the text is.
 
-    Null and empty texts have no licence and score 0. Ties go to lines, the earlier first, then the earlier template. Whole texts are read.
+    Null and empty texts have no licence and score 0. Ties go to lines, the earlier first, then the earlier template. Whole texts are read. Columns license, score and is_file of docs are replaced.
     """
+    docs = docs.drop("license", "score", "is_file")
     n, df = frequencies(docs, templates | {f"{k} in full": x for k, x in full.items()})
     keep = [c for c in docs.columns if c != "text"]
 
@@ -213,6 +214,7 @@ def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
     A directory with several licence files has that with the highest score, ties the first name. A null path inherits nothing.
     Directories, not files, are joined to their ancestors, so a directory with many files counts once.
     """
+    scanned = scanned.drop("dir", "inherited", "inherited_from", "effective")
     own = directory(F.col(path))
     files = scanned.where(F.col("is_file") & F.col(path).isNotNull()).select(own.alias("dir"), "license", "score").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("x")).select(F.col("dir").alias("from_dir"), F.col("x.license").alias("found"))
     steps = F.split("dir", "/")

@@ -225,23 +225,26 @@ def linked(rows: Callable[[Column], DataFrame], key: str, kind: type, percent: i
     path, met = scratch(spark, "members"), scratch(spark, "met")
     rows(F.col("__n") > BLOCK).select(key, "doc_id", "size", "data").write.parquet(path)
     large = spark.read.parquet(path)
-    centre = cut(large.groupBy(key).agg(F.min_by(F.struct("doc_id", "size", "data"), "doc_id").alias("c")).select(key, F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.data").alias("centre_data")))
-
-    def meet(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            n = batch.num_rows
-            judge = kind([*t.column("data").to_pylist(), *t.column("centre_data").to_pylist()], np.concatenate([t.column("size").to_numpy(), t.column("centre_size").to_numpy()]), percent)
-            on = np.zeros(n, bool)
-            pair, keys = np.stack([np.arange(n), n + np.arange(n)]), t.column(key).to_numpy()
-            for k in np.unique(keys):
-                own = np.flatnonzero(keys == k)
-                on[own] = judge.maybe(pair[0, own], pair[1, own[:1]])[:, 0]
-            on &= judge.sure(*pair)
-            on |= t.column("doc_id").to_numpy() == t.column("centre").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in (key, "doc_id", "size", "data", "centre")), pa.array(on)], [key, "doc_id", "size", "data", "centre", "on"])
-
-    large.join(centre, key).mapInArrow(tidied(meet), f"{key} long, doc_id long, size long, data binary, centre long, on boolean").write.parquet(met)
+    centre = cut(large.groupBy(key).agg(F.min_by(F.struct("doc_id", "size", "data"), "doc_id").alias("c"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+    # the centre goes to every part of its key, and a part holds about BLOCK rows
+    dealt = large.join(small(centre.select(key, "parts")), key).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+    centres = centre.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = dealt.select(key, "part", "doc_id", "size", "data", F.lit(False).alias("is_centre")).union(centres.select(key, "part", "c.doc_id", "c.size", "c.data", F.lit(True).alias("is_centre")))
+
+    def meet(tables):
+        for t in tables:
+            keys, parts, size, lead = (t.column(c).to_numpy() for c in (key, "part", "size", "is_centre"))
+            judge, on, of = kind(t.column("data").to_pylist(), size, percent), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            ids = t.column("doc_id").to_numpy()
+            for c in np.flatnonzero(lead):
+                own = np.flatnonzero((keys == keys[c]) & (parts == parts[c]) & ~lead)
+                if len(own):
+                    on[own] = judge.maybe(own, np.array([c]))[:, 0] & judge.sure(own, np.full(len(own), c)) | (ids[own] == ids[c])
+                    of[own] = ids[c]
+            out = pa.table([*(t.column(c) for c in (key, "doc_id", "size", "data")), pa.array(of), pa.array(on)], names=[key, "doc_id", "size", "data", "centre", "on"])
+            yield from out.filter(pa.array(~lead)).combine_chunks().to_batches()
+
+    by_key(both.withColumn("unit", F.xxhash64(key, "part")), "unit", meet, f"{key} long, doc_id long, size long, data binary, centre long, on boolean").write.parquet(met)
     done = spark.read.parquet(met)
     sides = cut(done.groupBy(key).agg(F.sum((~F.col("on")).cast("long")).alias("rest"), F.sum(F.col("on").cast("long")).alias("joined")).where("rest > 0"))
     b_rest, b_all = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int") + F.ceil(F.col("joined") / BLOCK).cast("int")
@@ -253,11 +256,25 @@ def linked(rows: Callable[[Column], DataFrame], key: str, kind: type, percent: i
     return cold.union(met_links).union(in_units(left.select(key, "doc_id", "size", "data", "block", "others"), key, kind, percent))
 
 
+#: Values of a sketch whose lists are compared first; lists of the others are skipped where these have put all documents into one group.
+FIRST = 2
+
+
 def candidates(reps: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span the groups of representatives (doc_id, n_shingles, first) which the sketches can't tell apart. Sketches are joined to what is left of the lists."""
-    lists, hot = banded(reps.select("doc_id", "n_shingles", F.explode("first").alias("value")), percent)
-    rows = lists.join(drawn.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("data")), "doc_id").select("list", "doc_id", "size", "data", "__n")
-    return linked(rows.where, "list", Sketches, percent, hot)
+
+    def compared(values: Column, known: DataFrame | None) -> DataFrame:
+        lists, hot = banded(reps.select("doc_id", "n_shingles", F.explode(values).alias("value")), percent)
+        if known is not None:
+            label = F.coalesce("component", "doc_id")
+            groups = lists.join(small(known.withColumnRenamed("id", "doc_id")), "doc_id", "left").groupBy("list").agg(F.min(label).alias("low"), F.max(label).alias("high"))
+            lists = lists.join(cut(groups.where("low < high").select("list")), "list", "left_semi")
+        rows = lists.join(drawn.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("data")), "doc_id").select("list", "doc_id", "size", "data", "__n")
+        return linked(rows.where, "list", Sketches, percent, hot)
+
+    links = cut(compared(F.slice("first", 1, FIRST), None))
+    rest = F.slice("first", FIRST + 1, LISTS - FIRST)
+    return links.union(compared(rest, components(links)))
 
 
 def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

@@ -208,8 +208,9 @@ def sanitise(docs: DataFrame, cues: dict[str, dict] | DataFrame, text: str = "te
 
     Entities are replaced by their kind in angle brackets, terms by <term>; overlapping spans by
     that of the first. Null text has no spans and stays null. Every row is judged alone and whole.
-    Cues in a frame are joined to the texts, so no task holds them all.
+    Cues in a frame are joined to the texts, so no task holds them all. Columns of the added names in docs are replaced.
     """
+    docs = docs.drop(*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised")
     keep = [c for c in docs.columns if c != text]
     joined = isinstance(cues, DataFrame)
     sent = None if joined else docs.sparkSession.sparkContext.broadcast(cues)
