@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.operators import kernels, metrics, packets, picks, relational, tiles
+from loomframe.operators import admin, kernels, metrics, packets, picks, playback, relational, reports, tiles
 from loomframe.plans.oracles import ORACLE_SQL as _SQL
 from loomframe.plans.relations import relation
 
@@ -135,6 +135,71 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "sweep_rows").groupBy("inter_partition").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("ok")).alias("n_ok"), F.round(F.sum("bytes") / F.greatest(F.count_if(F.expr("ok")), F.lit(1)), 6).alias("bytes_per_ok"), F.round(F.when(good > 0, 100 * (F.sum("bytes") - good) / good), 6).alias("savings"))
 
 
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = kernels.adaptive_deltas(kernels.block_variance(relation(spark, sf_dir, "blocks")), 24)
+    return reports.quality_steps(deltas, 28, 24, 32)
+
+
+def extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("qp", "inter_syntax", "entropy_model", "cost_model", "inter_partition")
+    more = relation(spark, sf_dir, "sweep_rows").where("line = 7").select(*names).distinct()
+    return reports.grid_with_extras(picks.grid(spark), more)
+
+
+def raw_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("o_orderkey") % 4 == 0, "frozen").when(F.col("o_orderkey") % 4 == 1, "archived").when(F.col("o_orderkey") % 4 == 2, None).otherwise("deleted")
+    return admin.states(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key_id"), (F.col("o_orderkey") % 2).alias("raw_active"), raw.alias("raw_state")))
+
+
+def issued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("license_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("export"), F.lit("editor")))
+    return admin.issue(relation(spark, sf_dir, "licenses").where("license_id % 10 = 0").withColumn("asked", asked), NOW)
+
+
+def cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = {"licenses": "license_id", "license_keys": "key_id", "installations": "installation_id", "verification_requests": "request_id", "audit_events": "event_id"}
+    return admin.cascade({t: (relation(spark, sf_dir, t), k) for t, k in keys.items()}, F.col("license_id") % 7 == 0, "deleted")
+
+
+def migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = relation(spark, sf_dir, "licenses").select("license_id", "owner")
+    wanted = {"owner": ("string", "nobody"), "record_state": ("string", "active"), "state_changed": ("long", None)}
+    return admin.migrate(old, wanted).select("license_id", "owner", "record_state", "state_changed")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.element_at(F.array(*map(F.lit, (".528", ".SRSM", ".mkv", ".txt", "", ".Wav"))), (F.col("page_id") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", playback.route(F.concat(F.lit("a.b/clip"), endings)).alias("route"))
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("video", "audio", "subtitle"))), (k % 3 + 1).cast("int"))
+    return playback.picture_limits(read(spark, sf_dir, "part").select(k.alias("id"), kind.alias("kind"), (k * 37 % 9_000).alias("width"), (k * 53 % 8_192).alias("height"), (k % 5 * 8_000).alias("rate"), (k % 4).alias("channels")))
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mails = relation(spark, sf_dir, "email_outbox")
+    return playback.unseen(mails, mails.where("email_id % 3 <> 0"), 2)
+
+
+def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of clips (orders) and their decoded copies, some of which are missing, double or out of range."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").cast("long").alias("frame"), F.floor("l_extendedprice").cast("long").alias("bytes"), "l_partkey")
+    copies = F.when(F.col("l_partkey") % 11 == 0, F.array()).when(F.col("l_partkey") % 13 == 0, F.array(F.lit(0), F.lit(0))).when(F.col("l_partkey") % 17 == 0, F.array(F.lit(100))).otherwise(F.array(F.lit(0)))
+    decoded = lines.withColumn("shift", F.explode(copies.cast("array<long>"))).select("clip", (F.col("frame") + F.col("shift")).alias("frame"), "bytes")
+    return lines.select("clip", "frame"), decoded
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 1_000 + 16).alias("width"), (F.col("p_partkey") * 11 % 600 + 16).alias("height"))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    command = F.element_at(F.create_map(*[F.lit(x) for pair in playback.COMMANDS.items() for x in pair]), F.col("event_type"))
+    return playback.player_states(read(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(command, F.lit("step")).alias("command")))
+
+
 QUERIES: dict[str, Query] = {
     "pareto_smallest_bytes": over(picks.smallest_at_quality, "sweep_rows", ssim=0.98),
     "pareto_best_ssim": over(picks.best_under_budget, "sweep_rows", measure="ssim", budget=5000),
@@ -219,6 +284,45 @@ QUERIES: dict[str, Query] = {
     "codec_playable": over(packets.playable, "tracks"),
     "primary_rows": over(picks.primary, "sweep_rows", wanted="auto-fast"),
     "compression_ratios": over(picks.ratios, "sweep_rows", raw=6_144),
+    "ordered_keys": over(admin.ordered_keys, "license_keys"),
+    "feature_gate": over(admin.allowed, "licenses", "license_features", feature="editor"),
+    "feature_slugs": over(admin.slugs, "license_features"),
+    "state_defaults": raw_states,
+    "unknown_licenses": lambda spark, sf_dir: admin.unknown_licenses(relation(spark, sf_dir, "playback_requests"), relation(spark, sf_dir, "licenses").where("record_state <> 'deleted'")),
+    "license_issue": issued,
+    "cascade_rows": cascaded,
+    "key_state_audit": lambda spark, sf_dir: admin.set_state(relation(spark, sf_dir, "license_keys"), F.col("key_id") % 6 == 0, "archived"),
+    "request_approve": lambda spark, sf_dir: admin.approve(relation(spark, sf_dir, "verification_requests"), F.col("request_id") % 4 == 0, NOW),
+    "schema_migrate": migrated,
+    "label_first_min": over(reports.first_min, "sweep_rows", label="rdo"),
+    "clip_candidates": over(reports.candidates, "sweep_rows"),
+    "syntax_pairs": over(reports.syntax_pairs, "sweep_rows"),
+    "grid_with_extras": extras,
+    "b_modes": over(reports.b_modes, "sweep_rows"),
+    "rate_report": over(reports.rate_report, "sweep_rows", fps=30, target_kbps=9_000),
+    "quality_steps": steps,
+    "quality_steps_merged": lambda spark, sf_dir: reports.merged_steps(steps(spark, sf_dir)),
+    "still_or_searched": over(reports.still_or_searched, "sweep_rows"),
+    "decision_counters": lambda spark, sf_dir: reports.decisions(reports.still_or_searched(relation(spark, sf_dir, "sweep_rows"))),
+    "vector_statistics": lambda spark, sf_dir: reports.vector_statistics(kernels.predicted(square(spark))),
+    "motion_telemetry": lambda spark, sf_dir: reports.motion_telemetry(square(spark)),
+    "activity_scores": lambda spark, sf_dir: reports.activity_scores(kernels.activity(metrics.clip(spark, "bars", 64, 64, 4), 64, 64)),
+    "side_bytes": over(reports.side_bytes, "sweep_rows"),
+    "report_sentences": over(reports.sentences, "sweep_rows"),
+    "report_markdown": over(reports.markdown, "sweep_rows"),
+    "encoder_listed": lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", reports.lists_encoder(F.col("p_name"), "ring").alias("listed")),
+    "path_routes": routes,
+    "picture_limits": limits,
+    "silent_tracks": lambda spark, sf_dir: playback.silent_tracks(relation(spark, sf_dir, "tracks"), relation(spark, sf_dir, "packets").where("track_id <> 2")),
+    "notices_unseen": notices,
+    "frame_pairs": lambda spark, sf_dir: playback.paired_frames(*frames(spark, sf_dir)),
+    "display_order": lambda spark, sf_dir: playback.display_order(frames(spark, sf_dir)[1], 5),
+    "ticks_of_ms": over(playback.ticks, "packets", "tracks"),
+    "skip_budget": over(playback.skips, "packets", track=1, per=1_000, budget=8),
+    "player_states": sessions,
+    "interleaved": over(playback.interleaved, "audio"),
+    "superchunk_grid": lambda spark, sf_dir: playback.superchunks(pictures(spark, sf_dir)),
+    "superchunk_regions": lambda spark, sf_dir: playback.regions(pictures(spark, sf_dir)),
     "idct8": over(tiles.idct, "tiles"),
     "dct4": over(tiles.dct4, "tiles"),
     "deblock_plane": over(tiles.deblock, "tiles"),

@@ -14,7 +14,7 @@ def has(flag: int) -> Column:
 
 
 def track_stats(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("track_id").agg(F.count(F.lit(1)).alias("packets"), F.min("pts").alias("min_pts"), F.max("pts").alias("max_pts"), F.count_if(has(KEYFRAME)).alias("keyframes"), F.count_if(has(CORRUPT)).alias("corrupt"), F.sum("size").alias("bytes"))
+    return packets.groupBy("track_id").agg(F.count(F.lit(1)).alias("packets"), F.min("pts").alias("min_pts"), F.max("pts").alias("max_pts"), F.count_if(has(KEYFRAME)).alias("keyframes"), F.count_if(has(CORRUPT)).alias("corrupt"), F.sum("size").alias("bytes"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
 
 
 def durations(packets: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -56,27 +56,55 @@ def recover_range(packets: DataFrame, targets: DataFrame) -> DataFrame:
     A running count and sum at both ends gives the range without listing it.
     """
     keys = seek(packets, targets, True).where("pts is not null").select("track_id", "target", F.col("pts").alias("from_pts"))
-    per = packets.groupBy("track_id", "pts").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    w = Window.partitionBy("track_id").orderBy("pts").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("rn", F.sum("n").over(w)).withColumn("rb", F.sum("b").over(w))
+    per = packets.groupBy("track_id", "pts").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).withColumn("band", F.expr(f"pts div {BAND}"))
+    held = per.groupBy("track_id", "band").agg(F.sum("n").alias("band_n"), F.sum("b").alias("band_b"))
+    ahead = Window.partitionBy("track_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select("track_id", "band", F.coalesce(F.sum("band_n").over(ahead), F.lit(0)).alias("before_n"), F.coalesce(F.sum("band_b").over(ahead), F.lit(0)).alias("before_b"))
+    w = Window.partitionBy("track_id", "band").orderBy("pts").rowsBetween(Window.unboundedPreceding, 0)
+    run = per.join(carried, ["track_id", "band"]).withColumn("rn", F.col("before_n") + F.sum("n").over(w)).withColumn("rb", F.col("before_b") + F.sum("b").over(w))
     low = run.select("track_id", F.col("pts").alias("from_pts"), (F.col("rn") - F.col("n")).alias("n0"), (F.col("rb") - F.col("b")).alias("b0"))
     ends = seek(packets, targets, False).select("track_id", "target", F.col("pts").alias("to_pts"))
     high = run.select("track_id", F.col("pts").alias("to_pts"), F.col("rn").alias("n1"), F.col("rb").alias("b1"))
     return keys.join(low, ["track_id", "from_pts"]).join(ends, ["track_id", "target"]).join(high, ["track_id", "to_pts"]).select("track_id", "target", "from_pts", (F.col("n1") - F.col("n0")).alias("packets"), (F.col("b1") - F.col("b0")).alias("bytes"))
 
 
+#: Sequence numbers of a band: windows run within bands of a track, and one row for each band carries over what lies before or behind.
+RUN = 65_536
+
+
+def banded(packets: DataFrame) -> DataFrame:
+    """Adds band, number (of the packet in its track), before_b (bytes in the bands before), and the nearest packet and keyframes in the bands before and behind."""
+    own = packets.withColumn("band", F.expr(f"sequence div {RUN}"))
+    key = F.when(has(KEYFRAME), F.col("sequence"))
+    held = own.groupBy("track_id", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.max("sequence").alias("last"), F.max(key).alias("last_key"), F.min(key).alias("first_key"))
+    order = Window.partitionBy("track_id").orderBy("band")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    carried = held.select(
+        "track_id", "band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("before_b"),
+        F.max("last").over(before).alias("before_last"), F.max("last_key").over(before).alias("before_key"), F.min("first_key").over(behind).alias("behind_key"),
+    )
+    return own.join(carried, ["track_id", "band"]).withColumn("number", F.col("before_n") + F.row_number().over(within()) - 1)
+
+
+def within(first: int | None = None, last: int | None = None):
+    """The window of a band, or of some rows of it."""
+    w = Window.partitionBy("track_id", "band").orderBy("sequence")
+    return w if first is None else w.rowsBetween(first, last)
+
+
 def cues(packets: DataFrame, every: int = 32) -> DataFrame:
     """Cue blocks of a track: one for each run of so many packets in sequence, and a shorter one at the end."""
-    number = F.row_number().over(Window.partitionBy("track_id").orderBy("sequence"))
-    numbered = packets.withColumn("number", number).withColumn("cue", F.expr(f"cast((number - 1) div {every} as bigint)"))
+    numbered = banded(packets).withColumn("cue", F.expr(f"number div {every}"))
     return numbered.groupBy("track_id", "cue").agg(F.count(F.lit(1)).alias("entries"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.max("pts").alias("max_pts"))
 
 
+def bytes_before() -> Column:
+    return F.col("before_b") + F.coalesce(F.sum("size").over(within(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def offsets(packets: DataFrame, header: int) -> DataFrame:
     """Number and byte offset of each packet in its track's file."""
-    w = Window.partitionBy("track_id").orderBy("sequence")
-    before = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return packets.select("track_id", "sequence", (F.row_number().over(w) - 1).cast("long").alias("number"), (F.coalesce(before, F.lit(0)) + header).alias("file_offset"))
+    return banded(packets).select("track_id", "sequence", "number", (bytes_before() + header).alias("file_offset"))
 
 
 def rescale(packets: DataFrame, to: int) -> DataFrame:
@@ -86,8 +114,7 @@ def rescale(packets: DataFrame, to: int) -> DataFrame:
 
 def accumulated(packets: DataFrame) -> DataFrame:
     """Synthetic pts: the sum of the durations (here sizes) of all packets before in the track."""
-    w = Window.partitionBy("track_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    return packets.select("track_id", "sequence", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("pts"))
+    return banded(packets).select("track_id", "sequence", bytes_before().alias("pts"))
 
 
 def gop(spark: SparkSession, n: int, keyint: int) -> DataFrame:
@@ -139,20 +166,22 @@ def rate_control(packets: DataFrame, start: int, low: int, high: int, step: int,
 
 def reference_slots(packets: DataFrame, slots: int = 16) -> DataFrame:
     """For each packet of a track in order: the packet before it since the last keyframe, that itself included, and how many references are held, at most so many."""
-    order = Window.partitionBy("track_id").orderBy("sequence")
-    group = F.sum(has(KEYFRAME).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    own = Window.partitionBy("track_id", "group").orderBy("sequence")
-    g = packets.withColumn("group", group)
-    return g.select("track_id", "sequence", F.lag("sequence").over(own).alias("nearest"), F.least(F.row_number().over(own) - 1, F.lit(slots)).cast("long").alias("held"))
+    own = banded(packets)
+    keys = own.where(has(KEYFRAME)).groupBy("track_id", "band").agg(F.max("number").alias("k"))
+    order = Window.partitionBy("track_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = own.select("track_id", "band").distinct().join(keys, ["track_id", "band"], "left").select("track_id", "band", F.max("k").over(order).alias("before_k"))
+    here = F.last(F.when(has(KEYFRAME), F.col("number")), True).over(within(Window.unboundedPreceding, 0))
+    since = F.col("number") - F.coalesce(here, "before_k", F.lit(0))
+    nearest = F.when(~has(KEYFRAME), F.coalesce(F.lag("sequence").over(within()), "before_last"))
+    return own.join(bands, ["track_id", "band"]).select("track_id", "sequence", nearest.alias("nearest"), F.least(since, F.lit(slots)).cast("long").alias("held"))
 
 
 def neighbours(packets: DataFrame) -> DataFrame:
     """The keyframes before and after each packet of a track, not itself."""
     key = F.when(has(KEYFRAME), F.col("sequence"))
-    w = Window.partitionBy("track_id").orderBy("sequence")
-    before = F.last(key, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(key, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return packets.select("track_id", "sequence", before.alias("before"), after.alias("after"))
+    before = F.last(key, True).over(within(Window.unboundedPreceding, -1))
+    after = F.first(key, True).over(within(1, Window.unboundedFollowing))
+    return banded(packets).select("track_id", "sequence", F.coalesce(before, "before_key").alias("before"), F.coalesce(after, "behind_key").alias("after"))
 
 
 def playable(tracks: DataFrame) -> DataFrame:

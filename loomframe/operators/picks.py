@@ -14,12 +14,12 @@ ROW = ("clip", "line", "part", "qp", "bytes", "ssim", "psnr")
 
 
 def first_by(rows: DataFrame, *order: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The first row in order, of each key if there are any. Without keys the limit is pushed to every partition."""
+    """The first row in order, of each key if there are any (then in ascending order of plain expressions). Without keys the limit is pushed to every partition."""
     if not keys:
         return rows.orderBy(*order).limit(1)
-    from pyspark.sql import Window
-
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    # an aggregate combines before it shuffles, where a window would sort every row of a key in one task
+    least = F.min_by(F.struct("*"), F.struct(*order))
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(least.alias("__row")).select("__row.*")
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -50,19 +50,19 @@ def closest_rate(rows: DataFrame, target: float) -> DataFrame:
 
 def grid(spark: SparkSession, most: int | None = None) -> DataFrame:
     """The sweep's cases in order of enumeration: the context model needs entropy syntax. A literal of at most 80 rows."""
-    axis = lambda values, name: spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"{name}_at int, {name} {'long' if name == 'qp' else 'string'}")
-    names = ("qp", "inter_syntax", "entropy_model", "cost_model", "inter_partition")
-    out = None
-    for values, name in zip((QPS, SYNTAXES, MODELS, COSTS, PARTITIONS), names, strict=True):
-        out = axis(values, name) if out is None else out.crossJoin(axis(values, name))
-    out = out.where("entropy_model <> 'context' or inter_syntax = 'entropy'").orderBy(*[f"{n}_at" for n in names])
-    return (out if most is None else out.limit(most)).select(*names)
+    out = spark.range(1, numPartitions=1).select()
+    axes = {"qp": QPS, "inter_syntax": SYNTAXES, "entropy_model": MODELS, "cost_model": COSTS, "inter_partition": PARTITIONS}
+    for name, values in axes.items():
+        kind = "long" if name == "qp" else "string"
+        out = out.select("*", F.posexplode(F.array(*map(F.lit, values)).cast(f"array<{kind}>")).alias(f"{name}_at", name))
+    out = out.where("entropy_model <> 'context' or inter_syntax = 'entropy'").orderBy(*[f"{n}_at" for n in axes])
+    return (out if most is None else out.limit(most)).select(*axes)
 
 
 def paired_wins(rows: DataFrame) -> DataFrame:
     """How often either partition mode needs fewer bytes at the same settings; the last row of a setting and mode counts."""
     keys = ("clip", "inter_syntax", "qp", "entropy_model", "cost_model")
-    last = first_by(valid(rows), F.desc("line"), F.desc("part"), F.desc("bytes"), keys=(*keys, "inter_partition"))
+    last = first_by(valid(rows), -F.col("line"), -F.col("part"), -F.col("bytes"), keys=(*keys, "inter_partition"))
     wide = last.groupBy(*keys).agg(*[F.max(F.when(F.col("inter_partition") == p, F.col("bytes"))).alias(n) for p, n in (("fixed16x16", "fixed"), ("auto-fast", "auto"))]).where("fixed is not null and auto is not null")
     return wide.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.expr("auto < fixed")).alias("auto_wins"), F.count_if(F.expr("auto > fixed")).alias("fixed_wins"), F.count_if(F.expr("auto = fixed")).alias("equal"), F.sum(F.col("auto") - F.col("fixed")).alias("delta"))
 
@@ -101,7 +101,7 @@ def rdo_pick(rows: DataFrame) -> DataFrame:
 def primary(rows: DataFrame, wanted: str) -> DataFrame:
     """Of each clip block the row that stands for it: the wanted partition if there is one, else the fewest bytes; ties go to the first row."""
     block = rows.where("ok").withColumn("clips", F.expr("clip div 500"))
-    return first_by(block, F.desc(F.col("inter_partition") == wanted), F.col("bytes"), F.col("clip"), F.col("line"), F.col("part"), keys=("clips",)).select("clips", "clip", "line", "part", "inter_partition", "bytes")
+    return first_by(block, F.col("inter_partition") != wanted, F.col("bytes"), F.col("clip"), F.col("line"), F.col("part"), keys=("clips",)).select("clips", "clip", "line", "part", "inter_partition", "bytes")
 
 
 def ratios(rows: DataFrame, raw: int) -> DataFrame:

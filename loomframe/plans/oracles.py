@@ -92,7 +92,7 @@ SQL = {
     "notification_fold": """select license_id, max_by(state, case state when 'queued' then 0 when 'sent' then 1 when 'delivered' then 2 else 3 end) as state, min(created) filter (state = 'sent') as sent_at, min(created) filter (state = 'delivered') as delivered_at, min(created) filter (state = 'read') as read_at, count(*) as n from email_outbox group by license_id""",
     "feature_normalise": """select p_partkey as part, array_to_string(list_sort(list_distinct(list_append(list_filter(list_transform(string_split(lower(raw), ','), lambda x: replace(trim(x), '-', '_')), lambda x: x in ('basic', 'editor', 'import', 'export', 'batch')), 'basic'))), ',') as features
       from (select p_partkey, case p_partkey % 4 when 0 then ' Editor, BATCH ,x' when 1 then 'import,import' when 2 then p_name else 'export, basic' end as raw from part)""",
-    "track_stats": "select track_id, count(*) as packets, min(pts) as min_pts, max(pts) as max_pts, count_if(flags & 1 <> 0) as keyframes, count_if(flags & 16 <> 0) as corrupt, cast(sum(size) as bigint) as bytes from packets group by track_id",
+    "track_stats": "select track_id, count(*) as packets, min(pts) as min_pts, max(pts) as max_pts, count_if(flags & 1 <> 0) as keyframes, count_if(flags & 16 <> 0) as corrupt, cast(sum(size) as bigint) as bytes, min(sequence) as first, max(sequence) as last from packets group by track_id",
     "container_durations": "select max(pts) // 1000 as probed_ms, max(pts * 1000 // timescale) as inspected_ms, max(pts) * 1000 // (select min_by(timescale, track_id) from tracks) as playback_ms from packets join tracks using (track_id)",
     "seek_any": SEEK.format(""),
     "seek_keyframe": SEEK.format("where flags & 1 <> 0"),
@@ -201,5 +201,74 @@ SQL |= {
       n as (select trio, sum(y * (p + 1)) as y, sum(ly * (p + 1)) as ly, sum({BYTE.format("y + 1.5748::double * v")} * (p + 1)) as red, sum({BYTE.format("y - 0.1873::double * u - 0.4681::double * v")} * (p + 1)) as green, sum({BYTE.format("y + 1.8556::double * u")} * (p + 1)) as blue from k group by trio)
       select trio, {", ".join(f"cast({c} as bigint) as {c}" for c in ("y", "u", "v", "ly", "lu", "lv", "red", "green", "blue"))} from m join n using (trio)""",
 }
+
+CHANGE = "select '{0}' as table_name, cast({1} as varchar) as id, license_id, '{2}' as field, {3} as value from {4}"
+STEPS = f"""select block // 100 as frame, least(greatest(28 + frame_delta, 24), 32) as qp from ({SQL["adaptive_deltas"].replace("with v as", "with vv as").replace("from v)", "from vv)").replace("from v, m", "from vv, m")})"""
+FRAME_STEPS = f"""select frame, count_if(qp > 28) as up, count_if(qp < 28) as down, count_if(qp = 28) as unchanged, min(qp) as low, max(qp) as high, round(avg(qp), 6) as mean, cast(least(greatest(floor(avg(qp) + 0.5), 24), 32) as bigint) as effective from ({STEPS}) group by frame"""
+CHOICES = f"""select clip, line, part, bytes, qp, cast(case when searched < still then 1 else 0 end as bigint) as chosen, 2 + sx + sy as side_bytes from (select *, bytes // 16 + lam * (sx + sy) // 256 as searched, bytes // 16 + part % 7 + lam * 2 // 256 as still from (
+      select *, 217 * (case when e >= 0 then 256 << e else 256 >> -e end) // 256 as lam, case when zx < 128 then 1 when zx < 16384 then 2 else 3 end as sx, case when zy < 128 then 1 when zy < 16384 then 2 else 3 end as sy from (
+        select *, least(greatest(cast((qp - 12) // 3 as integer), -8), 16) as e, case when part % 200 - 100 >= 0 then 2 * (part % 200 - 100) else -2 * (part % 200 - 100) - 1 end as zx, case when clip % 90 - 45 >= 0 then 2 * (clip % 90 - 45) else -2 * (clip % 90 - 45) - 1 end as zy from sweep_rows where {VALID})))"""
+FRAMES = "select l_orderkey as clip, l_linenumber as frame, cast(floor(l_extendedprice) as bigint) as bytes, l_partkey as k from lineitem"
+DECODED = f"select clip, frame + unnest(case when k % 11 = 0 then [] when k % 13 = 0 then [0, 0] when k % 17 = 0 then [100] else [0] end) as frame, bytes from ({FRAMES})"
+PICTURES = "select p_partkey as id, p_partkey * 7 % 1000 + 16 as width, p_partkey * 11 % 600 + 16 as height from part"
+REGIONS = f"select id, (width + 63) // 64 as cols, (height + 63) // 64 as rows, width, height from ({PICTURES})"
+STATE_KEYS = {"licenses": "license_id", "license_keys": "key_id", "installations": "installation_id", "verification_requests": "request_id", "audit_events": "event_id"}
+SQL |= {
+    "ordered_keys": f"select key_id, license_id, created, record_state from license_keys order by {RANK}, created desc, key_id",
+    "feature_gate": "select license_id, record_state = 'active' and license_id in (select license_id from license_features where feature_name = 'editor') as allowed from licenses",
+    "feature_slugs": "select feature_name, case feature_name when 'editor' then 'Editor workspace' when 'import' then 'Import' when 'export' then 'Export' when 'batch' then 'Batch processing' else 'Basic playback' end as display, feature_name in ('basic', 'editor', 'import', 'export', 'batch') as known, count(*) as n from license_features group by feature_name",
+    "state_defaults": "select o_orderkey as key_id, o_orderkey % 2 = 1 as active, case o_orderkey % 4 when 1 then 'archived' when 3 then 'deleted' else 'active' end as record_state, case o_orderkey % 4 when 1 then 'Archived' when 3 then 'Deleted' else 'Active' end as display from orders",
+    "unknown_licenses": "select request_id, license_id from playback_requests where license_id is not null and license_id not in (select license_id from licenses where record_state <> 'deleted')",
+    "license_issue": " union all ".join(
+        [
+            CHANGE.format("licenses", "license_id", "created", "'1706000000'", "licenses where license_id % 10 = 0"),
+            CHANGE.format("license_keys", "'key-' || license_id", "active", "'true'", "licenses where license_id % 10 = 0"),
+            CHANGE.format("license_features", "license_id", "feature_name", "f", "(select license_id, unnest(case when license_id % 3 = 0 then ['basic'] else ['editor', 'export'] end) as f from licenses where license_id % 10 = 0)"),
+            CHANGE.format("audit_events", "'key-' || license_id", "license_issued", """'{"email":"' || owner || '","features":' || case when license_id % 3 = 0 then '["basic"]' else '["editor","export"]' end || '}'""", "licenses where license_id % 10 = 0"),
+        ]
+    ),
+    "cascade_rows": " union all ".join(CHANGE.format(t, k, "record_state", "'deleted'", f"{t} where license_id % 7 = 0 and record_state <> 'deleted'") for t, k in STATE_KEYS.items()),
+    "key_state_audit": CHANGE.format("license_keys", "key_id", "record_state", "'archived'", "license_keys where key_id % 6 = 0") + " union all " + CHANGE.format("audit_events", "key_id", "admin_key_state_updated", """'{"state":"archived"}'""", "license_keys where key_id % 6 = 0"),
+    "request_approve": CHANGE.format("verification_requests", "request_id", "approved", "'1706000000'", "verification_requests where request_id % 4 = 0 and approved is null") + " union all " + CHANGE.format("audit_events", "request_id", "admin_request_approved", """'{"request_id":' || request_id || '}'""", "verification_requests where request_id % 4 = 0 and approved is null"),
+    "schema_migrate": "select c_custkey as license_id, c_name as owner, 'active' as record_state, cast(null as bigint) as state_changed from customer",
+    "label_first_min": f"select clip // 500 as clips, bytes, clip, line, part from sweep_rows where {VALID} and contains(cost_model, 'rdo') qualify row_number() over (partition by clip // 500 order by bytes, clip, line, part) = 1",
+    "clip_candidates": f"""with c as (select * from sweep_rows where {VALID} qualify row_number() over (partition by clip order by bytes, ssim desc, line, part) = 1), g as (select * from sweep_rows where {VALID} qualify row_number() over (partition by clip order by ssim desc, bytes, line, part) = 1)
+      select clip, c.bytes as least_bytes, c.line as least_line, g.ssim as best_ssim, g.bytes as best_bytes, g.line as best_line from c join g using (clip)""",
+    "syntax_pairs": f"""select a.base, v1, v2, v2 - v1 as delta from (select clip || '-' || inter_partition as base, min(bytes) as v1 from sweep_rows where {VALID} and part % 2 = 0 group by 1) a join (select clip || '-' || inter_partition as base, min(bytes) as v2 from sweep_rows where {VALID} and part % 2 = 1 group by 1) b using (base)""",
+    "grid_with_extras": f"{SQL['sweep_grid']} union select qp, inter_syntax, entropy_model, cost_model, inter_partition from sweep_rows where line = 7",
+    "b_modes": f"""with r as (select *, line % 3 as mode from sweep_rows where {VALID} qualify row_number() over (partition by clip, line % 3 order by line desc, part desc, bytes desc) = 1),
+      w as (select clip, max(bytes) filter (mode = 0) as a, max(bytes) filter (mode = 1) as b, max(bytes) filter (mode = 2) as c, sum(part % 100) as wb, sum(part % 10) as hb from r group by clip having count(*) = 3)
+      select clip // 500 as clips, count(*) as n, count_if(b < a) as half_lower, count_if(c < a) as weighted_lower, cast(sum(wb) as bigint) as weighted_blocks, cast(sum(hb) as bigint) as half_blocks from w group by 1""",
+    "rate_report": "select clip // 1000 as clips, min(qp) as min_qp, max(qp) as max_qp, round(avg(qp), 6) as avg_qp, round(sum(bytes) * 240.0::double / count(*), 6) as rate, round((sum(bytes) * 240.0::double / count(*) - 9000000) / 9000000.0::double * 100, 6) as error_percent from sweep_rows group by 1",
+    "quality_steps": FRAME_STEPS,
+    "quality_steps_merged": f"select frame % 3 as plane, cast(sum(up) as bigint) as up, cast(sum(down) as bigint) as down, cast(sum(unchanged) as bigint) as unchanged, min(low) as low, max(high) as high, round(sum(qsum) / sum(up + down + unchanged), 6) as mean from (select f.*, q.qsum from ({FRAME_STEPS}) f join (select frame, cast(sum(qp) as double) as qsum from ({STEPS}) group by frame) q using (frame)) group by 1",
+    "still_or_searched": CHOICES,
+    "decision_counters": f"select qp, 2 * count(*) as compared, cast(sum(side_bytes) as bigint) as side_bytes, count_if(chosen = 0) as still_wins, count_if(chosen = 1) as searched_wins from ({CHOICES}) group by qp",
+    "vector_statistics": f"select frame, cast(sum((dx = 0)::int + (dy = 0)::int) as bigint) as zero, cast(sum((dx <> 0)::int + (dy <> 0)::int) as bigint) as others, cast(sum(abs(dx) + abs(dy)) as bigint) as sizes, round(sum(abs(dx) + abs(dy)) / (2 * count(*)), 6) as mean from ({SQL['mv_predict_delta']}) group by frame",
+    "motion_telemetry": f"select frame, count_if(mvx <> 0 or mvy <> 0) as moving, cast(sum(abs(mvx) + abs(mvy)) as bigint) as length, count(*) as blocks from ({SQL['sad_search']}) group by frame",
+    "activity_scores": f"""select frame, "by", bx, variance_sum // 256 + gradient // 16 as activity, 2 * gradient + variance_sum // 512 as edges, 2 * gradient + gradient // 4 as screen from ({SQL['block_activity']})""",
+    "side_bytes": """select cast(u as bigint) as units, inter_syntax, count(*) as n, cast(sum(case inter_syntax when 'compact' then 9 else 10 end + case when ok then 2 else 0 end) as bigint) as header, cast(sum(case u when 1 then 0 when 2 then 1 else 4 end) as bigint) as partition, cast(sum(case u when 1 then 0 when 2 then 2 else 4 end) as bigint) as transform, cast(sum(case when ok then u - 1 else 0 end) as bigint) as steps
+      from (select *, case part % 4 when 0 then 1 when 3 then 4 else 2 end as u from sweep_rows) group by u, inter_syntax""",
+    "report_sentences": f"""select qp, case when c < s then 'context needs ' || (s - c) || ' bytes less than static (' || c || ')' when c > s then 'context needs ' || (c - s) || ' bytes more than static (' || c || ')' else 'context and static tie at ' || s end as summary from (
+      select qp, cast(sum(case when entropy_model = 'static' then bytes else 0 end) as bigint) as s, cast(sum(case when entropy_model = 'context' then bytes else 0 end) as bigint) as c from sweep_rows where {VALID} group by qp)""",
+    "report_markdown": f"select clip, line, part, '| ' || clip || ' | ' || line || ' | ' || part || ' | ' || qp || ' | ' || bytes || ' |' as text from sweep_rows where {VALID} order by bytes desc, clip, line, part limit 50",
+    "encoder_listed": "select p_partkey, regexp_matches(lower(p_name), '(^|\\s)ring(\\s|$)') as listed from part",
+    "path_routes": "select page_id, case page_id % 6 when 0 then 'play' when 1 then 'play' when 2 then 'import' when 5 then 'audio' else 'refused' end as route from pages",
+    "picture_limits": """select id, case when k = 0 then case when w = 0 or h = 0 then 'empty' when w > 8192 or h > 8192 then 'side' when w * h > 33554432 then 'pixels' else 'ok' end when k = 1 then case when r = 0 then 'rate' when c not in (1, 2) then 'channels' else 'ok' end else 'ok' end as reason
+      from (select p_partkey as id, p_partkey % 3 as k, p_partkey * 37 % 9000 as w, p_partkey * 53 % 8192 as h, p_partkey % 5 * 8000 as r, p_partkey % 4 as c from part)""",
+    "silent_tracks": "select track_id, codec from tracks where track_id not in (select track_id from packets where track_id <> 2)",
+    "notices_unseen": "select license_id, email_id from email_outbox except select license_id, email_id from (select * from email_outbox where email_id % 3 <> 0 qualify row_number() over (partition by license_id order by created desc, email_id desc) <= 2)",
+    "frame_pairs": f"""with s as (select clip, frame, count(*) as n from ({FRAMES}) group by all), d as (select clip, frame, count(*) as n, min(bytes) as bytes from ({DECODED}) group by all)
+      select coalesce(s.clip, d.clip) as clip, coalesce(s.frame, d.frame) as frame, case when s.n is null then 'out_of_range' when d.n is null then 'missing' when d.n > 1 or s.n > 1 then 'duplicate' else 'ok' end as fault, d.bytes from s full join d on s.clip = d.clip and s.frame = d.frame""",
+    "display_order": f"select clip, frame, row_number() over w - 1 as place, cast(coalesce(sum(bytes) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as file_offset, count(*) over (partition by clip) > 5 as exceeded from (select clip, frame, min(bytes) as bytes from ({DECODED}) group by all) window w as (partition by clip order by frame)",
+    "ticks_of_ms": "select track_id, sequence, ticks, ticks * 1000 // timescale as ms from (select track_id, sequence, timescale, us // 1000 * timescale // 1000 as ticks from packets join tracks using (track_id))",
+    "skip_budget": "select stretch, max(run) as longest, max(run) > 8 as exceeded from (select stretch, isle, count_if(not wanted) as run from (select *, sum(wanted::int) over (partition by stretch order by sequence) as isle from (select sequence // 1000 as stretch, sequence, track_id = 1 as wanted from packets)) group by all) group by stretch",
+    "player_states": """with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as k, case event_type when 'signup' then 'play' when 'purchase' then 'pause' when 'error' then 'stop' when 'click' then 'end' else 'step' end as c from events),
+      f as (select user_id, cast(0 as bigint) as k, 'stopped' as state from e group by user_id union all select f.user_id, e.k, case when c = 'stop' then 'stopped' when c = 'play' and state <> 'ended' then 'playing' when c = 'pause' and state = 'playing' then 'paused' when c = 'end' and state = 'playing' then 'ended' else state end from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+      select user_id, k as commands, state from f qualify row_number() over (partition by user_id order by k desc) = 1""",
+    "interleaved": "select pair, count(*) as n, sha256(string_agg(cast(s as varchar), ' ' order by p, c)) as digest, true as restored from (select stream // 2 as pair, stream % 2 as c, p, s from audio) group by pair having count(distinct c) = 2",
+    "superchunk_grid": f"select id, cols, rows, cols * rows as regions, (cols - 1) * 64 as x0, (rows - 1) * 64 as y0, (cols - 1) * 32 as cx0, (rows - 1) * 32 as cy0, (width + 1) // 2 as cx1, (height + 1) // 2 as cy1 from ({REGIONS})",
+    "superchunk_regions": f"select id, cols * rows as regions, width * height as samples, (width - (cols - 1) * 64) * (height - (rows - 1) * 64) as least from ({REGIONS})",
+}
 SQL["sweep_grid_quick"] = f"select * from ({SQL['sweep_grid']}) where qp <= 22"
 ORACLE_SQL = {k: oracle(v) for k, v in SQL.items()}
