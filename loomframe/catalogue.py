@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions import codecs
 from loomframe.operators import admin, kernels, metrics, packets, picks, playback, relational, reports, tiles
 from loomframe.plans.oracles import ORACLE_SQL as _SQL
 from loomframe.plans.relations import relation
+from loomframe.sources import container, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,6 +202,32 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playback.player_states(read(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(command, F.lit("step")).alias("command")))
 
 
+#: Magics of the generated files.
+MAGIC, OLD_MAGIC = b"LOOMF2\0\0", b"LOOM"
+
+
+def generated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written to files of up to 500 sequence numbers, and scanned again."""
+    p = relation(spark, sf_dir, "packets")
+    files = p.select(F.expr("cast(sequence div 500 as string)").alias("file"), "track_id", "flags", "sequence", "pts", F.col("pts").alias("dts"), F.col("size").cast("string").cast("binary").alias("payload"))
+    made = container.mux(files, [(1, 2, 7, 90_000), (2, 1, 8, 48_000), (3, 3, 9, 1_000)], MAGIC, 32)
+    return container.blocks_in(made.select(F.col("file").alias("path"), "content"), MAGIC, OLD_MAGIC)
+
+
+def container_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = generated_blocks(spark, sf_dir).where("kind = 'packet'")
+    return own.select(F.col("path").cast("long").alias("file"), "sequence", F.col("track_id").cast("long").alias("track_id"), F.col("flags").cast("long").alias("flags"), "pts", F.col("payload").cast("string").cast("long").alias("size"))
+
+
+def container_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = generated_blocks(spark, sf_dir).where("kind <> 'packet'")
+    return own.groupBy(F.col("path").cast("long").alias("file"), "kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("packet_number").alias("numbers"), F.max("pts").alias("max_pts"), F.count_distinct("cue_id").alias("cues"))
+
+
+def round_trip(codec: str) -> Query:
+    return lambda spark, sf_dir: codecs.round_trips(relation(spark, sf_dir, "audio"), "stream", "p", "s", codec).select("stream", "n", "ok")
+
+
 QUERIES: dict[str, Query] = {
     "pareto_smallest_bytes": over(picks.smallest_at_quality, "sweep_rows", ssim=0.98),
     "pareto_best_ssim": over(picks.best_under_budget, "sweep_rows", measure="ssim", budget=5000),
@@ -284,6 +312,10 @@ QUERIES: dict[str, Query] = {
     "codec_playable": over(packets.playable, "tracks"),
     "primary_rows": over(picks.primary, "sweep_rows", wanted="auto-fast"),
     "compression_ratios": over(picks.ratios, "sweep_rows", raw=6_144),
+    **{f"{c}_round_trip": round_trip(c) for c in ("varint", "rans", "contexts", "bits", "lpc", "runs")},
+    "container_packets": container_packets,
+    "container_entries": container_entries,
+    "preset_metadata": lambda spark, sf_dir: raw.metadata(raw.presets(spark)),
     "ordered_keys": over(admin.ordered_keys, "license_keys"),
     "feature_gate": over(admin.allowed, "licenses", "license_features", feature="editor"),
     "feature_slugs": over(admin.slugs, "license_features"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,11 +24,42 @@ def crc_table(polynomial: int = CASTAGNOLI) -> np.ndarray:
 _table = crc_table()
 
 
-def crc32c(data: bytes, start: int = 0) -> int:
-    c = start ^ 0xFFFFFFFF
-    for b in data:
-        c = int(_table[(c ^ b) & 255]) ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+@lru_cache(maxsize=64)
+def zero_shift(n: int) -> tuple[int, ...]:
+    """What n zero bytes make of each bit of a checksum's state: 32 columns of a matrix over bits."""
+    if n == 1:
+        return tuple(int(_table[(1 << b) & 255]) ^ ((1 << b) >> 8) for b in range(32))
+    half = zero_shift(n // 2)
+    twice = tuple(shifted(half, c) for c in half)
+    return tuple(shifted(zero_shift(1), c) for c in twice) if n % 2 else twice
+
+
+def shifted(columns: tuple[int, ...], state):
+    """A state, or an array of them, through a matrix of bits."""
+    out = state & 0
+    for b, c in enumerate(columns):
+        out = out ^ (((state >> b) & 1) * c)
+    return out
+
+
+def crc32c(data: bytes) -> int:
+    """Lanes of the data are summed side by side and put together by halves: zeros before the data change nothing."""
+    n = len(data)
+    if not n:
+        return 0
+    lanes = 1 << max(0, n.bit_length() // 2)
+    width = -(-n // lanes)
+    m = np.zeros(lanes * width, np.uint8)
+    m[lanes * width - n :] = np.frombuffer(data, np.uint8)
+    m = m.reshape(lanes, width)
+    c = np.zeros(lanes, np.uint32)
+    for k in range(width):
+        c = _table[(c ^ m[:, k]) & 255] ^ (c >> np.uint32(8))
+    c = c.astype(np.int64)
+    while len(c) > 1:
+        c = shifted(zero_shift(width), c[::2]) ^ c[1::2]
+        width *= 2
+    return int(c[0]) ^ shifted(zero_shift(n), 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
 def crc32c_many(payloads: list[bytes]) -> np.ndarray:
@@ -113,6 +146,56 @@ class RangeModel:
         return out
 
 
+def encode_contexts(models: list[RangeModel], contexts: list[int], symbols: list[int]) -> bytes:
+    """Symbols through one state, each by the model of its context."""
+    x, spilled = LOW, bytearray()
+    for c, s in zip(reversed(contexts), reversed(symbols), strict=True):
+        m = models[c]
+        while x >= ((LOW >> SCALE_BITS) << 8) * m.f[s]:
+            spilled.append(x & 255)
+            x >>= 8
+        x = (x // m.f[s] << SCALE_BITS) + x % m.f[s] + m.start[s]
+    return x.to_bytes(4, "little") + bytes(reversed(spilled))
+
+
+def decode_contexts(models: list[RangeModel], n: int, context_of, data: bytes) -> list[int]:
+    """The symbols again; context_of tells each one's context from those before it."""
+    if len(data) < 4:
+        raise ValueError("the stream has no state")
+    x, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for _ in range(n):
+        m = models[context_of(out)]
+        slot = x & ((1 << SCALE_BITS) - 1)
+        s = m.symbol[slot]
+        out.append(s)
+        x = m.f[s] * (x >> SCALE_BITS) + slot - m.start[s]
+        while x < LOW:
+            if at >= len(data):
+                raise ValueError("the stream ends too soon")
+            x, at = x << 8 | data[at], at + 1
+    return out
+
+
+def pack_bits(values: list[tuple[int, int]]) -> bytes:
+    """Numbers of given widths one after the other, highest bit first, padded with zeros to whole bytes."""
+    n = bits = 0
+    for v, width in values:
+        if v < 0 or v >> width:
+            raise ValueError("a number is too wide")
+        n, bits = n << width | v, bits + width
+    return (n << -bits % 8).to_bytes(-(-bits // 8), "big")
+
+
+def unpack_bits(data: bytes, widths: list[int]) -> list[int]:
+    n, left, out = int.from_bytes(data, "big"), 8 * len(data), []
+    for w in widths:
+        left -= w
+        if left < 0:
+            raise ValueError("bits are missing")
+        out.append(n >> left & (1 << w) - 1)
+    return out
+
+
 def levinson(r: list[float]) -> list[float]:
     """Prediction weights from autocorrelations; silence predicts nothing."""
     a, error = [], float(r[0])
@@ -187,6 +270,8 @@ def round_trips(rows: DataFrame, key: str, at: str, value: str, codec: str) -> D
     ways = {
         "varint": (lambda v: b"".join(write_varint(zigzag(x)) for x in v), _varints),
         "rans": (lambda v: RangeModel.uniform(256).encode([x & 255 for x in v]), lambda d, n: RangeModel.uniform(256).decode(d, n)),
+        "contexts": (lambda v: encode_contexts(two_models(), [0, *[(x & 255) >> 7 for x in v[:-1]]][: len(v)], [x & 255 for x in v]), lambda d, n: decode_contexts(two_models(), n, lambda out: out[-1] >> 7 if out else 0, d)),
+        "bits": (lambda v: pack_bits([(x & 255, 8 + k % 5) for k, x in enumerate(v)]), lambda d, n: unpack_bits(d, [8 + k % 5 for k in range(n)])),
         "lpc": (lpc_encode, lambda d, n: lpc_decode(d)),
         "runs": (runs_encode, lambda d, n: runs_decode(d)),
     }
@@ -199,13 +284,19 @@ def round_trips(rows: DataFrame, key: str, at: str, value: str, codec: str) -> D
                 v = [int(x) for x in v]
                 data = encode(v)
                 sizes.append(len(data))
-                ok.append(decode(data, len(v)) == ([x & 255 for x in v] if codec == "rans" else v))
+                ok.append(decode(data, len(v)) == ([x & 255 for x in v] if codec in ("rans", "contexts", "bits") else v))
             yield pd.DataFrame({key: pdf[key], "n": pdf["v"].map(len), "bytes": sizes, "ok": ok})
 
     own = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v")))).alias("o")).select(key, F.transform("o", lambda x: x["v"]).alias("v"))
     return own.mapInPandas(run, f"{key} long, n long, bytes long, ok boolean")
 
 
+@lru_cache(maxsize=1)
+def two_models() -> list[RangeModel]:
+    """Flat frequencies, and those that favour high symbols."""
+    return [RangeModel.uniform(256), RangeModel([8] * 128 + [24] * 128)]
+
+
 def _varints(data: bytes, n: int) -> list[int]:
     out, at = [], 0
     while at < len(data):

@@ -270,5 +270,13 @@ SQL |= {
     "superchunk_grid": f"select id, cols, rows, cols * rows as regions, (cols - 1) * 64 as x0, (rows - 1) * 64 as y0, (cols - 1) * 32 as cx0, (rows - 1) * 32 as cy0, (width + 1) // 2 as cx1, (height + 1) // 2 as cy1 from ({REGIONS})",
     "superchunk_regions": f"select id, cols * rows as regions, width * height as samples, (width - (cols - 1) * 64) * (height - (rows - 1) * 64) as least from ({REGIONS})",
 }
+FILES = "select sequence // 500 as file, row_number() over (partition by sequence // 500 order by sequence) - 1 as n, track_id, flags, pts, size from packets"
+SQL |= {f"{c}_round_trip": "select stream, count(*) as n, true as ok from audio group by stream" for c in ("varint", "rans", "contexts", "bits", "lpc", "runs")}
+SQL |= {
+    "container_packets": f"select file, n as sequence, track_id, flags, pts, size from ({FILES})",
+    "container_entries": f"select file, 'index' as kind, count(*) as entries, cast(sum(n) as bigint) as numbers, max(pts) as max_pts, cast(0 as bigint) as cues from ({FILES}) group by file union all select file, 'cue', count(*), cast(sum(n) as bigint), max(pts), count(distinct n // 32) from ({FILES}) group by file",
+    "preset_metadata": """select *, '{"pattern":"' || pattern || '","width":' || width || ',"height":' || height || ',"fps":30,"frames":' || frames || ',"format":"yuv420p","bytes":' || bytes || '}' as document from (
+      select name, pattern, w as width, w as height, 30 as fps, f as frames, 'yuv420p' as format, w * w * 3 // 2 * f as bytes from (values ('flat', 'flat', 64, 16), ('gradient', 'ramp', 64, 16), ('moving_square', 'square', 128, 24), ('scrolling_bars', 'bars', 128, 24), ('checker', 'checker', 64, 16), ('noise', 'noise', 64, 16), ('scene_cut', 'cut', 128, 24)) t(name, pattern, w, f))""",
+}
 SQL["sweep_grid_quick"] = f"select * from ({SQL['sweep_grid']}) where qp <= 22"
 ORACLE_SQL = {k: oracle(v) for k, v in SQL.items()}

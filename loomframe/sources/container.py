@@ -113,7 +113,7 @@ def _rows(names: list[str], found: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([[r.get(n) for n in names] for r in found], columns=names, dtype=object)
 
 
-def _scan(spark: SparkSession, path: str, schema: str, one) -> DataFrame:
+def _scan(files: DataFrame, schema: str, one) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -130,7 +130,12 @@ def _scan(spark: SparkSession, path: str, schema: str, one) -> DataFrame:
                     found.append({"path": where, "error": str(e)})
                 yield _rows(names, found)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of files in any store that Spark reads; a file is one value, of 2 GB at most."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def scan_tracks(spark: SparkSession, path: str, magic: bytes, old_magic: bytes) -> DataFrame:
@@ -140,12 +145,17 @@ def scan_tracks(spark: SparkSession, path: str, magic: bytes, old_magic: bytes)
         h, tracks, _ = tracks_of(data, magic, old_magic)
         return ({**{k: h[k] for k in ("version", "file_flags", "cue_interval")}, **t} for t in tracks)
 
-    return _scan(spark, path, TRACKS, one)
+    return _scan(files_at(spark, path), TRACKS, one)
 
 
 def scan_blocks(spark: SparkSession, path: str, magic: bytes, old_magic: bytes) -> DataFrame:
     """A row for each packet, cue entry and index entry of each file."""
-    return _scan(spark, path, BLOCKS, lambda data: blocks_of(data, magic, old_magic))
+    return blocks_in(files_at(spark, path), magic, old_magic)
+
+
+def blocks_in(files: DataFrame, magic: bytes, old_magic: bytes) -> DataFrame:
+    """The same from files (path, content) in a frame."""
+    return _scan(files, BLOCKS, lambda data: blocks_of(data, magic, old_magic))
 
 
 def rebuilt_index(blocks: DataFrame) -> DataFrame:
@@ -195,3 +205,25 @@ def mux(packets: DataFrame, tracks: list[tuple[int, int, int, int]], magic: byte
         return pd.DataFrame({"file": [pdf["file"].iloc[0]], "content": [file_of(pdf, tracks, magic, cue_interval)]})
 
     return packets.groupBy("file").applyInPandas(one, "file string, content binary")
+
+
+def write_files(made: DataFrame, folder: str) -> DataFrame:
+    """Writes files (file, content) into a folder that all executors share: file and bytes of each, once it is complete.
+
+    A task writes to a name of its own first and renames it, so a repeated task leaves one whole file.
+    """
+
+    def run(batches):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            for name, content in zip(pdf["file"], pdf["content"], strict=True):
+                part = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, os.path.join(folder, str(name)))
+            yield pd.DataFrame({"file": pdf["file"], "bytes": pdf["content"].map(len)})
+
+    return made.select("file", "content").mapInPandas(run, "file string, bytes long")

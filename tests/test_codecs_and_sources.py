@@ -11,6 +11,7 @@ from loomframe.functions import codecs
 from loomframe.operators import packets as P
 from loomframe.plans.relations import relation
 from loomframe.sources import container as C
+from loomframe.sources import raw
 from loomframe.streaming import ordered
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +43,26 @@ def test_varints_refuse_cut_off_numbers():
         codecs.RangeModel([1, 2])
 
 
-@pytest.mark.parametrize("codec", ["varint", "rans", "lpc", "runs"])
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000))
+def test_crc32c_is_the_bytewise_one(data):
+    assert codecs.crc32c(data) == int(codecs.crc32c_many([data])[0])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1 << 20), st.integers(21, 40)), max_size=30))
+def test_bits_come_back(values):
+    assert codecs.unpack_bits(codecs.pack_bits(values), [w for _, w in values]) == [v for v, _ in values]
+
+
+def test_bits_refuse_what_doesnt_fit():
+    with pytest.raises(ValueError):
+        codecs.pack_bits([(4, 2)])
+    with pytest.raises(ValueError):
+        codecs.unpack_bits(b"a", [9])
+
+
+@pytest.mark.parametrize("codec", ["varint", "rans", "contexts", "bits", "lpc", "runs"])
 def test_codecs_over_tables(spark, codec):
     audio = relation(spark, SF, "audio").where("stream < 20")
     got = codecs.round_trips(audio, "stream", "p", "s", codec).collect()
@@ -78,6 +98,36 @@ def test_containers_come_back(spark, files):
     assert C.rebuilt_index(C.scan_blocks(spark, str(cut), MAGIC, OLD)).count() == 200  # 100 packets and 100 cue entries
 
 
+def test_files_are_written_whole(spark, files, tmp_path):
+    _, made = files
+    folder = str(tmp_path / "written")
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "file string, content binary")
+    for _ in range(2):
+        assert {r.file: r.bytes for r in C.write_files(df, folder).collect()} == {k: len(v) for k, v in made.items()}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "written").iterdir()} == made
+
+
+def test_raw_files_and_reports(spark, tmp_path):
+    one = bytes(range(24)) * 2  # two frames of 4 by 4
+    for name, data in (("b.yuv", one), ("a.yuv", one[:-1]), ("b.json", b'{"width":4}')):
+        (tmp_path / name).write_bytes(data)
+    found = {r.path.rsplit("/", 1)[1]: (r.length, r.document) for r in raw.discover(spark, str(tmp_path)).collect()}
+    assert found == {"a.yuv": (47, None), "b.yuv": (48, '{"width":4}')}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.yuv").load(str(tmp_path))
+    rows = raw.scan_yuv(files, 4, 4).collect()
+    assert sorted((r.frame, bytes(r.y), bytes(r.u), bytes(r.v)) for r in rows if r.error is None) == [(k, one[:16], one[16:20], one[20:24]) for k in (0, 1)]
+    assert [r.path.endswith("a.yuv") for r in rows if r.error == "size"] == [True]
+    sound = spark.createDataFrame([("s", bytearray([1, 0, 255, 255, 2, 0, 0, 128, 9]))], "path string, content binary")
+    assert sorted((r.channel, r.samples) for r in raw.scan_pcm(sound, 2).collect()) == [(0, [1, 2]), (1, [-1, -32768])]
+    report = str(tmp_path / "report")
+    raw.write_report(spark.createDataFrame([(1, None), (2, "x")], "id long, note string"), report)
+    assert sorted((r.id, r.note) for r in raw.read_report(spark, report, "id long, note string").collect()) == [(1, None), (2, "x")]
+    (tmp_path / "bad.json").write_text('{"id": "word"}')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        raw.read_report(spark, str(tmp_path / "bad.json"), "id long").collect()
+    assert raw.read_report(spark, str(tmp_path / "bad.json"), "id long", strict=False).collect() == []
+
+
 def test_damaged_files_are_told(spark, files, tmp_path):
     _, made = files
     data = made["f1"]
@@ -102,7 +152,7 @@ def streamed(spark, tmp_path, df, make, mode, parts):
     for k in range(parts):
         df.where(f"sequence % {parts} = {k}" if mode == "append" else f"sequence div 500 = {k}").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = make(stream).writeStream.format("memory").queryName("out").outputMode(mode).start()
+    q = make(stream).writeStream.format("memory").queryName("out").outputMode(mode.split("-")[0]).start()
     q.processAllAvailable()
     q.stop()
     return spark.sql("select * from out")
@@ -119,3 +169,11 @@ def test_stream_rate_control_is_the_batch_one(spark, tmp_path):
     out = streamed(spark, tmp_path, p, lambda s: ordered.rate_state(s, 28, 10, 44, 1, 2000), "update", 2)
     last = {r.track_id: (r.packets, r.qp) for r in out.orderBy("packets").collect()}
     assert last == {r.track_id: (r.packets, r.qp) for r in P.rate_control(p, 28, 10, 44, 1, 2000, 64).collect()}
+
+
+def test_stream_references_are_the_batch_ones(spark, tmp_path):
+    p = relation(spark, SF, "packets").where("sequence < 1000")
+    rows = p.select(F.col("track_id").alias("stream"), F.col("sequence").alias("frame"), P.has(P.KEYFRAME).alias("keyframe"), "sequence")
+    out = streamed(spark, tmp_path, rows, lambda s: ordered.reference_state(s.drop("sequence")), "append-by-range", 2)
+    want = {(r.track_id, r.sequence): (r.nearest, r.held) for r in P.reference_slots(p).collect()}
+    assert {(r.stream, r.frame): (r.nearest, r.held) for r in out.collect()} == want
