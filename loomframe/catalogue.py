@@ -280,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "adaptive_deltas": lambda spark, sf_dir: kernels.adaptive_deltas(kernels.block_variance(relation(spark, sf_dir, "blocks")), 24),
     "block_activity": lambda spark, sf_dir: kernels.activity(metrics.clip(spark, "bars", 64, 64, 4), 64, 64),
     "sad_search": lambda spark, sf_dir: square(spark),
+    "half_places": lambda spark, sf_dir: kernels.half_places(metrics.clip(spark, "square", 64, 64, 4), 2, 64, 64),
     "mv_predict_delta": lambda spark, sf_dir: kernels.predicted(square(spark)),
     "dct8": over(tiles.dct, "tiles"),
     "quantise": levels,

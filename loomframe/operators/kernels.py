@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.operators.tiles import let
+
 
 def block_variance(blocks: DataFrame) -> DataFrame:
     """Mean of squares minus the square of the mean, all in integers rounded down."""
@@ -33,19 +37,65 @@ def activity(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return s.select("frame", "by", "bx", spread.alias("variance_sum"), "gradient", F.when(spread < 16 * 256, 1024).otherwise(0).cast("long").alias("flatness"))
 
 
-def motion(pixels: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """For each 16 by 16 block of every frame but the first, the displacement of least absolute difference to the frame before; outside counts as 128.
+#: Side of a coding block.
+SIDE = 16
+
+
+def windows(pixels: DataFrame, margin: int, width: int, height: int) -> DataFrame:
+    """frame, by, bx, c (the block's samples) and r (those of the frame before around it, by so many places on each side; 128 outside) of every block of every frame but the first.
 
-    Every pixel is sent to its displacements and joined to the pixel it meets by equality; ties go to the smaller mvx, then mvy.
+    A sample goes to its own block and, of the frame before, to the blocks whose surroundings it is in: four at most for margins up to half a block.
     """
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    cur = pixels.where("frame > 0").withColumn("mvx", F.explode(steps)).withColumn("mvy", F.explode(steps))
-    cur = cur.select((F.col("frame") - 1).alias("f"), (F.col("y") + F.col("mvy")).alias("py"), (F.col("x") + F.col("mvx")).alias("px"), "frame", "y", "x", "v", "mvx", "mvy")
-    ref = pixels.select(F.col("frame").alias("f"), F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("r"))
-    met = cur.join(ref, ["f", "py", "px"], "left").where(f"y < {height // 16 * 16} and x < {width // 16 * 16}")
-    sad = met.groupBy("frame", F.expr("y div 16").alias("by"), F.expr("x div 16").alias("bx"), "mvx", "mvy").agg(F.sum(F.abs(F.col("v") - F.coalesce("r", F.lit(128)))).alias("sad"))
-    best = sad.groupBy("frame", "by", "bx").agg(F.min(F.struct("sad", "mvx", "mvy")).alias("b"))
-    return best.select("frame", "by", "bx", F.col("b.mvx").cast("long").alias("mvx"), F.col("b.mvy").cast("long").alias("mvy"), F.col("b.sad").alias("sad"))
+    side = SIDE + 2 * margin
+    ordered = lambda pos: F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("v").alias("v"))))
+    inside = pixels.where(f"y < {height // SIDE * SIDE} and x < {width // SIDE * SIDE}").withColumn("by", F.expr(f"y div {SIDE}")).withColumn("bx", F.expr(f"x div {SIDE}"))
+    cur = inside.where("frame > 0").groupBy("frame", "by", "bx").agg(F.transform(ordered((F.col("y") % SIDE * SIDE + F.col("x") % SIDE).cast("int")), lambda e: e["v"]).alias("c"))
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - margin) / SIDE), F.lit(0)), F.least(F.floor((F.col(c) + margin) / SIDE), F.lit(n // SIDE - 1))))
+    around = pixels.where(f"y < {height // SIDE * SIDE + margin} and x < {width // SIDE * SIDE + margin}").withColumn("by", near("y", height)).withColumn("bx", near("x", width))
+    place = ((F.col("y") - F.col("by") * SIDE + margin) * side + F.col("x") - F.col("bx") * SIDE + margin).cast("int")
+    ref = around.groupBy((F.col("frame") + 1).alias("frame"), "by", "bx").agg(ordered(place).alias("e"))
+    # inner blocks have all samples, in order; those at the frame's edge are filled up
+    fill = lambda e: let(lambda m: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: F.coalesce(F.element_at(m, p), F.lit(128).cast("long"))), m=F.map_from_entries(e))
+    dense = let(lambda e: F.when(F.size(e) == side * side, F.transform(e, lambda x: x["v"])).otherwise(fill(e)), e="e")
+    return cur.join(ref.select("frame", "by", "bx", dense.alias("r")), ["frame", "by", "bx"])
+
+
+def difference(c: Column, sample: Callable[[Column], Column]) -> Column:
+    """Sum of absolute differences between a block's samples and those that are told by place."""
+    return F.aggregate(F.transform(c, lambda v, p: F.abs(v - sample(p))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def motion(pixels: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """For each 16 by 16 block of every frame but the first, the displacement of least absolute difference to the frame before; outside counts as 128. Ties go to the smaller mvx, then mvy."""
+    side = SIDE + 2 * radius
+    at = lambda r, x, y: lambda p: F.get(r, F.floor(p / SIDE).cast("int") * side + p % SIDE + (y + radius) * side + x + radius)
+    steps = range(-radius, radius + 1)
+    best = lambda c, r: F.array_min(F.array(*[F.struct(difference(c, at(r, x, y)).alias("sad"), F.lit(x).alias("mvx"), F.lit(y).alias("mvy")) for x in steps for y in steps]))
+    found = windows(pixels, radius, width, height).select("frame", "by", "bx", let(best, c="c", r="r").alias("b"))
+    return found.select("frame", "by", "bx", F.col("b.mvx").cast("long").alias("mvx"), F.col("b.mvy").cast("long").alias("mvy"), F.col("b.sad").alias("sad"))
+
+
+#: Fixed order in which half places about a vector are tried, in quarters of a sample; the vector itself comes first.
+HALVES = ((0, 0), (-2, -2), (0, -2), (2, -2), (-2, 0), (2, 0), (-2, 2), (0, 2), (2, 2))
+
+
+def half_places(pixels: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """The vectors of motion() refined to half places, in quarters of a sample: samples between others are weighted from the four around them, and only a smaller difference moves a vector."""
+    margin = radius + 1
+    side = SIDE + 2 * margin
+
+    def best(c: Column, r: Column, mvx: Column, mvy: Column) -> Column:
+        def sample(qx: int, qy: int) -> Callable[[Column], Column]:
+            fx, fy = qx % 4, qy % 4
+            tap = lambda p, dx, dy: F.get(r, F.floor(p / SIDE).cast("int") * side + p % SIDE + (mvy + (qy // 4 + dy + margin)) * side + mvx + (qx // 4 + dx + margin))
+            taps = [(dx, dy, (fx if dx else 4 - fx) * (fy if dy else 4 - fy)) for dy in (0, 1) for dx in (0, 1)]
+            return lambda p: F.floor((sum((tap(p, dx, dy) * w for dx, dy, w in taps if w), F.lit(0)) + 8) / 16)
+
+        return F.array_min(F.array(*[F.struct(difference(c, sample(x, y)).alias("sad"), F.lit(k).alias("k"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, (x, y) in enumerate(HALVES)]))
+
+    whole = motion(pixels, radius, width, height).select("frame", "by", "bx", F.col("mvx").cast("int").alias("mvx"), F.col("mvy").cast("int").alias("mvy"))
+    found = windows(pixels, margin, width, height).join(whole, ["frame", "by", "bx"]).select("frame", "by", "bx", "mvx", "mvy", let(best, c="c", r="r", mvx="mvx", mvy="mvy").alias("b"))
+    return found.select("frame", "by", "bx", (F.col("mvx") * 4 + F.col("b.dx")).cast("long").alias("qx"), (F.col("mvy") * 4 + F.col("b.dy")).cast("long").alias("qy"), F.col("b.sad").alias("sad"))
 
 
 def predicted(vectors: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Reports give identical pictures this PSNR in place of infinity.
@@ -69,10 +69,11 @@ def snr(samples: DataFrame, step: int) -> DataFrame:
 
 
 def autocorrelation(samples: DataFrame, order: int) -> DataFrame:
-    """Sums of s[i] * s[i - lag] of each stream for every lag up to the order: each sample is sent to the places it meets."""
-    lags = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("lag")
-    ahead = samples.select("stream", "p", "s", lags).select("stream", (F.col("p") + F.col("lag")).alias("p"), "lag", F.col("s").alias("b"))
-    return samples.join(ahead, ["stream", "p"]).groupBy("stream", "lag").agg(F.sum(F.col("s") * F.col("b")).alias("r")).withColumn("lag", F.col("lag").cast("long"))
+    """Sums of s[i] * s[i - lag] of each stream for every lag up to the order: one window over a stream, whose rows then are where its sums are taken."""
+    own = Window.partitionBy("stream").orderBy("p")
+    each = samples.select("stream", *[(F.col("s") * (F.lag("s", k).over(own) if k else F.col("s"))).alias(str(k)) for k in range(order + 1)])
+    sums = each.groupBy("stream").agg(*[F.sum(str(k)).alias(str(k)) for k in range(order + 1)])
+    return sums.unpivot("stream", [str(k) for k in range(order + 1)], "lag", "r").where("r is not null").withColumn("lag", F.col("lag").cast("long"))
 
 
 def bitrate(packets: DataFrame, fps: int) -> DataFrame:

@@ -278,5 +278,11 @@ SQL |= {
     "preset_metadata": """select *, '{"pattern":"' || pattern || '","width":' || width || ',"height":' || height || ',"fps":30,"frames":' || frames || ',"format":"yuv420p","bytes":' || bytes || '}' as document from (
       select name, pattern, w as width, w as height, 30 as fps, f as frames, 'yuv420p' as format, w * w * 3 // 2 * f as bytes from (values ('flat', 'flat', 64, 16), ('gradient', 'ramp', 64, 16), ('moving_square', 'square', 128, 24), ('scrolling_bars', 'bars', 128, 24), ('checker', 'checker', 64, 16), ('noise', 'noise', 64, 16), ('scene_cut', 'cut', 128, 24)) t(name, pattern, w, f))""",
 }
+TAP = "left join px {0} on {0}.frame = e.frame - 1 and {0}.x = e.ix + {1} and {0}.y = e.iy + {2}"
+SQL["half_places"] = SAD + f""", o as (select * from (values (0, 0, 0), (1, -2, -2), (2, 0, -2), (3, 2, -2), (4, -2, 0), (5, 2, 0), (6, -2, 2), (7, 0, 2), (8, 2, 2)) t(k, ox, oy)),
+  e as (select c.frame, b."by", b.bx, k, b.mvx * 4 + ox as qx, b.mvy * 4 + oy as qy, c.v, cast(floor((c.x * 4 + b.mvx * 4 + ox) / 4) as bigint) as ix, cast(floor((c.y * 4 + b.mvy * 4 + oy) / 4) as bigint) as iy, (ox + 4) % 4 as fx, (oy + 4) % 4 as fy from px c join best b on b.frame = c.frame and b."by" = c.y // 16 and b.bx = c.x // 16, o),
+  z as (select e.frame, e."by", e.bx, k, qx, qy, sum(abs(e.v - ((coalesce(a.v, 128) * (4 - fx) * (4 - fy) + coalesce(b.v, 128) * fx * (4 - fy) + coalesce(c.v, 128) * (4 - fx) * fy + coalesce(d.v, 128) * fx * fy + 8) >> 4))) as sad
+    from e {TAP.format("a", 0, 0)} {TAP.format("b", 1, 0)} {TAP.format("c", 0, 1)} {TAP.format("d", 1, 1)} group by all)
+  select frame, "by", bx, qx, qy, cast(sad as bigint) as sad from z qualify row_number() over (partition by frame, "by", bx order by sad, k) = 1"""
 SQL["sweep_grid_quick"] = f"select * from ({SQL['sweep_grid']}) where qp <= 22"
 ORACLE_SQL = {k: oracle(v) for k, v in SQL.items()}
