@@ -8,6 +8,9 @@ windows with a smaller document is that of the maximal repeats.
 
 Hashes travel packed: one row for each batch of documents and bucket of hashes, with a
 hash once for each document, and answers one row for each bucket of hashes and of documents.
+What a batch of documents can decide alone it does: of a hash that several of its documents
+share, one entry travels, so a passage in a third of all documents has an entry for each
+batch and not for each document. Windows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ PACKED = "bucket int, hash binary, rest binary, size int"
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _lexicon = Lexicon()
 _base = 0x9E3779B97F4A7C15
+#: Sets the second half of a window's hash apart from the first.
+OTHER = np.uint64(0xA0761D6478BD642F)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -70,13 +75,13 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rows_by_bucket(bucket: np.ndarray, docs: np.ndarray, numbers: np.ndarray, hashes: np.ndarray | None, kind: str) -> pa.RecordBatch:
-    """A packed row for each bucket."""
+    """A packed row for each bucket; hashes have a row of the matrix for each part of a hash."""
     order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     bucket, docs, numbers = bucket[order], docs[order], numbers[order]
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, int)
     ends = np.append(edge[1:], len(bucket)) if len(bucket) else edge
-    own = hashes[order].astype(kind) if hashes is not None else None
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array([own[a:b].tobytes() if own is not None else b"" for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array([pack(docs[a:b], numbers[a:b]) for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array((ends - edge).astype(np.int32))], ["bucket", "hash", "rest", "size"])
+    own = hashes[:, order].astype(kind) if hashes is not None else None
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array([own[:, a:b].tobytes() if own is not None else b"" for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array([pack(docs[a:b], numbers[a:b]) for a, b in zip(edge, ends, strict=True)], pa.binary()), pa.array((ends - edge).astype(np.int32))], ["bucket", "hash", "rest", "size"])
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -92,15 +97,17 @@ def column(t: pa.Table, name: str) -> list[bytes]:
     return t.column(name).to_pylist()
 
 
-def gathered(t: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gathered(t: pa.Table, kind: str, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, a row of the matrix for each part, with the ids and numbers."""
     rest = [unpack(x) for x in column(t, "rest")]
-    return np.frombuffer(b"".join(column(t, "hash")), kind), np.concatenate([d for d, _ in rest]), np.concatenate([x for _, x in rest])
+    return np.concatenate([np.frombuffer(x, kind).reshape(parts, -1) for x in column(t, "hash")], 1), np.concatenate([d for d, _ in rest]), np.concatenate([x for _, x in rest])
 
 
 def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by hash, the starts of its runs, and the run of each row in that order."""
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
+    order = np.argsort(h[0], kind="stable") if len(h) == 1 else np.lexsort(h[::-1])
+    own = h[:, order]
+    new = np.concatenate(([True], (own[:, 1:] != own[:, :-1]).any(0))) if h.shape[1] else np.empty(0, bool)
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -149,26 +156,44 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     h.append(own[back]), doc.append(np.full(len(own), i, np.int64)), number.append(2 * first[back] + block[back])
                 if h:
                     h, doc, number = map(np.concatenate, (h, doc, number))
-                    yield rows_by_bucket(bucket_of(h, n), doc, number, h, "<u4")
+                    order, edge, run = runs(h[None])
+                    # met more than once here, and a block of the index among them: all are hits, and one entry travels, with the block
+                    good = (np.diff(np.append(edge, len(h))) > 1) & np.bitwise_or.reduceat(number[order] & 1, edge).astype(bool)
+                    here = good[run]
+                    at = order[here]
+                    yield from answers(doc[at], number[at] >> 1, n)
+                    stays = ~here | (np.maximum.reduceat(np.where(number[order] & 1, np.arange(len(order)), -1), edge)[run] == np.arange(len(order)))
+                    at = np.sort(order[stays])
+                    h, doc, number = h[at], doc[at], number[at]
+                    yield rows_by_bucket(bucket_of(h, n), doc, number, h[None], "<u4")
 
     def hit(tables):
         for t in tables:
-            h, doc, number = gathered(t, "<u4")
+            if t.column("bucket")[0].as_py() >= n:
+                yield from passed(t)
+                continue
+            h, doc, number = gathered(t, "<u4", 1)
             order, edge, run = runs(h)
             # met more than once, and a block of the index among them
-            good = (np.diff(np.append(edge, len(h))) > 1) & np.bitwise_or.reduceat(number[order] & 1, edge).astype(bool)
+            good = (np.diff(np.append(edge, len(run))) > 1) & np.bitwise_or.reduceat(number[order] & 1, edge).astype(bool)
             at = order[good[run]]
             yield from answers(doc[at], number[at] >> 1)
 
-    def answers(doc: np.ndarray, number: np.ndarray):
+    def answers(doc: np.ndarray, number: np.ndarray, early: int = 0):
+        """Rows by bucket of documents; early ones are told apart by n on top."""
         order = np.argsort(doc, kind="stable")
         if len(order):
-            yield rows_by_bucket(np.mod(xxhash64(doc[order]), n), doc[order], number[order], None, "")
+            yield rows_by_bucket(early + np.mod(xxhash64(doc[order]), n), doc[order], number[order], None, "")
+
+    def passed(t: pa.Table):
+        """Answers that were known early."""
+        for b in t.to_batches():
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() - n, pa.int32()), *b.columns[1:]], b.schema.names)
 
     def extend(own: pa.Table, hits: pa.Table) -> pa.Table:
         """Hashes of the whole windows that hold a hit."""
         where = places(hits)
-        h, doc, number = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        h, doc, number = [np.empty((2, 0), np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i, text in zip(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), strict=True) if where else ():
             if i in where and text:
                 words = hashes(text)
@@ -180,18 +205,30 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 start = np.arange(len(whole))
                 live = np.flatnonzero(reach[np.minimum(start + window - half + 1, len(near))] > reach[start])
                 if len(live):
-                    u, first = distinct(whole[live])
-                    back = np.argsort(first)
-                    h.append(u[back]), doc.append(np.full(len(u), i, np.int64)), number.append(live[first[back]])
-        h, doc, number = map(np.concatenate, (h, doc, number))
-        return pa.Table.from_batches([rows_by_bucket(bucket_of(h, n), doc, number, h, "<u8")])
+                    first = np.sort(distinct(whole[live])[1])
+                    h.append(np.stack([whole[live[first]], rolling(mix(words ^ OTHER), window)[live[first]]])), doc.append(np.full(len(first), i, np.int64)), number.append(live[first])
+        h, doc, number = np.concatenate(h, 1), np.concatenate(doc), np.concatenate(number)
+        gone, at = decided(h, doc)
+        early = list(answers(doc[gone], number[gone], n))
+        h, doc, number = h[:, at], doc[at], number[at]
+        return pa.Table.from_batches([rows_by_bucket(bucket_of(h[0], n), doc, number, h, "<u8"), *early])
+
+    def decided(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with a smaller document of the same hash, and those of the smallest."""
+        if not len(doc):
+            return np.empty(0, int), np.empty(0, int)
+        order, edge, run = runs(h)
+        least = np.minimum.reduceat(doc[order], edge)
+        smaller = doc[order] > least[run]
+        return order[smaller], np.sort(order[~smaller])
 
     def smallest(tables):
         for t in tables:
-            h, doc, number = gathered(t, "<u8")
-            order, edge, run = runs(h)
-            least = np.minimum.reduceat(doc[order], edge)
-            at = order[doc[order] > least[run]]
+            if t.column("bucket")[0].as_py() >= n:
+                yield from passed(t)
+                continue
+            h, doc, number = gathered(t, "<u8", 2)
+            at, _ = decided(h, doc)
             yield from answers(doc[at], number[at])
 
     def remove(own: pa.Table, found: pa.Table) -> pa.Table:
