@@ -1,10 +1,11 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text that holds a cue is a header candidate, and so is every run of terms
-around a cue that is as long as a template or one of its sentences, on one line or several;
-each is compared to the templates and their sentences. Whole texts with a cue are compared to
-the full licences. Inverse document frequencies of the templates' and licences' terms are
-counted over the whole corpus. A file that is mostly licence is the licence of its directory; files without a header of their own take that of the nearest directory above.
+Every line of a text is a header candidate, and so is every run of terms that is as long as a
+template or one of its sentences, on one line or several; each is compared to the templates and
+their sentences. Whole texts are compared to the full licences. What lacks all of the weighty
+terms of a template can't reach the threshold, so lines, runs and texts without any of them are
+passed over, and none is lost. A tag that names a licence by its identifier is taken at its word.
+Inverse document frequencies of the templates' and licences' terms are counted over the whole corpus. A file that is mostly licence is the licence of its directory; files without a header of their own take that of the nearest directory above.
 """
 
 from __future__ import annotations
@@ -40,9 +41,7 @@ FULL = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).pa
 #: Cosine from which a line is a header, part of a file's words in headers from which it is a licence file, and cosine to a full licence from which it is that.
 COSINE, FILE_SHARE, WHOLE = 0.6, 0.5, 0.85
 _term = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
-#: Terms that any licence line must hold one of.
-CUES = ("licens", "permission", "redistribut", "public domain", "copyright", "spdx")
-_cue = re.compile("|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES))
+_tag = re.compile(r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)")
 
 
 def terms(text: str) -> list[str]:
@@ -67,7 +66,7 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> tuple[int, dict[s
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n += 1
-                sums.update(vocabulary.intersection(t.lower().split()))
+                sums.update(vocabulary.intersection(terms(t)))
         sums[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
 
@@ -78,17 +77,27 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> tuple[int, dict[s
 class Matcher:
     """Cosines of lines to the templates' sentences, over the templates' terms and one slot for all others."""
 
-    def __init__(self, names: list[tuple[str, str]], n: int, df: dict[str, int]):
+    def __init__(self, names: list[tuple[str, str]], n: int, df: dict[str, int], least: float):
         self.names = names
         self.at = {t: k for k, t in enumerate(sorted({t for _, x in self.names for t in terms(x)}))}
         self.idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 0.1 for t in self.at])
         self.rare = math.log(1 + n) + 0.1
         self.rows = np.stack([self.vector(terms(x))[0] for _, x in self.names])
         self.rows /= np.linalg.norm(self.rows, axis=1)[:, None]
+        self.needed = self.weighty(least)
         self.lengths = defaultdict(list)
         for k, (_, x) in enumerate(names):
             self.lengths[len(terms(x))].append(k)
 
+    def weighty(self, least: float) -> frozenset[str]:
+        """Terms of which any text must hold one that reaches a cosine: a template's others weigh too little together."""
+        words, out = list(self.at), set()
+        for row in self.rows:
+            order = np.argsort(row)
+            light = np.sqrt(np.cumsum(row[order] ** 2)) < least - 1e-9
+            out.update(words[k] for k in order[~light] if row[k])
+        return frozenset(out)
+
     def vector(self, own: list[str]) -> tuple[np.ndarray, float]:
         """Weights of known terms, and the norm with unknown ones."""
         v, other = np.zeros(len(self.at)), 0
@@ -111,13 +120,11 @@ class Matcher:
 
 
     def windows(self, low: str) -> list[tuple[float, str, int, int]]:
-        """Score, name, start and end of the runs of terms that hold a cue, are as long as a template and reach COSINE: the best first, none that overlaps a better one."""
+        """Score, name, start and end of the runs of terms that hold a weighty one, are as long as a template and reach COSINE: the best first, none that overlaps a better one."""
         found = list(_term.finditer(low))
-        starts = np.array([m.start() for m in found])
         cue = np.zeros(len(found) + 1, np.int64)
         reach, stretches = max(self.lengths), []
-        for m in _cue.finditer(low):
-            p = int(starts.searchsorted(m.start(), "right")) - 1
+        for p in [k for k, m in enumerate(found) if m[0] in self.needed]:
             cue[p + 1] = 1
             a, b = max(0, p - reach + 1), min(len(found), p + reach)
             if stretches and a <= stretches[-1][1]:
@@ -159,25 +166,32 @@ def words_within(low: str, spans: list[tuple[int, int]]) -> int:
 def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES, full: dict[str, str] = FULL) -> DataFrame:
     """Adds license, score and is_file to the other columns of docs, in place of the text: the best line's or window's template if its cosine reaches COSINE, or the full licence that the text is.
 
-    Null and empty texts have no licence and score 0. Ties go to lines, the earlier first, then the earlier template. Whole texts are read. Columns license, score and is_file of docs are replaced.
+    Null and empty texts have no licence and score 0. Ties go to tags, then lines, the earlier first, then the earlier template. Whole texts are read. Columns license, score and is_file of docs are replaced.
     """
     docs = docs.drop("license", "score", "is_file")
     n, df = frequencies(docs, templates | {f"{k} in full": x for k, x in full.items()})
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        m = Matcher(sentences(templates), n, df)
-        whole = Matcher(list(full.items()), n, df) if full else None
+        m = Matcher(sentences(templates), n, df, COSINE)
+        whole = Matcher(list(full.items()), n, df, WHOLE) if full else None
+        tags = {k.lower() + end: k for k in {*templates, *full} for end in ("", "-only", "-or-later", "+")}
         cache: dict[str, tuple] = {}
         for batch in batches:
             names, scores, files = [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 name, score, spans, is_file = None, 0.0, [], False
                 low = t.lower() if t else ""
-                if _cue.search(low):
+                held = set(terms(low))
+                for tag in _tag.finditer(low):
+                    if tag[1] in tags:
+                        spans.append(tag.span())
+                        if score < 1.0:
+                            name, score = tags[tag[1]], 1.0
+                if not held.isdisjoint(m.needed):
                     at = 0
                     for line in low.split("\n"):
-                        if any(c in line for c in CUES):
+                        if not m.needed.isdisjoint(terms(line)):
                             if line not in cache:
                                 if len(cache) > 50_000:
                                     cache.clear()
@@ -192,8 +206,9 @@ def headers(docs: DataFrame, templates: dict[str, str] = TEMPLATES, full: dict[s
                         spans.append((a, b))
                         if s > score:
                             name, score = who, s
-                    is_file = bool(spans) and words_within(low, spans) >= FILE_SHARE * len(low.split())
-                    who, s = whole.best(low) if whole else (None, 0.0)
+                is_file = bool(spans) and words_within(low, spans) >= FILE_SHARE * len(low.split())
+                if whole and not held.isdisjoint(whole.needed):
+                    who, s = whole.best(low)
                     if s >= WHOLE:
                         name, score, is_file = who, s, True
                 names.append(name), scores.append(score), files.append(is_file)

@@ -434,6 +434,53 @@ def test_licences_inside_lines_and_in_full(spark):
     assert got[50].license is None and not got[50].is_file
 
 
+def test_licence_tags_and_what_is_passed_over(spark):
+    rest = " ".join(words(30, 3))
+    docs = spark.createDataFrame(
+        [(1, "a", f"// SPDX-License-Identifier: MIT\n{rest}"), (2, "b", f"# SPDX-License-Identifier: GPL-3.0-or-later\n{rest}"), (3, "c", f"// SPDX-License-Identifier: Some-Thing-1.0\n{rest}"), (4, "d", rest)],
+        "doc_id long, path string, text string",
+    )
+    got = {r.doc_id: (r.license, r.score) for r in license_scan.headers(docs).collect()}
+    assert got[1] == ("MIT", 1.0) and got[2] == ("GPL-3.0", 1.0) and got[4] == (None, 0.0)
+    # lines that the weighty terms pass over never reach the threshold
+    m = license_scan.Matcher(license_scan.sentences(license_scan.TEMPLATES), 1000, {"the": 900, "of": 800, "to": 700, "is": 600, "license": 3}, license_scan.COSINE)
+    r = np.random.default_rng(1)
+    vocabulary = [*m.at, "other", "words", "here"]
+    for _ in range(3000):
+        own = [vocabulary[k] for k in r.integers(0, len(vocabulary), r.integers(1, 9))]
+        if m.needed.isdisjoint(own):
+            assert m.best(" ".join(own))[1] < license_scan.COSINE
+
+
+def plain_scores(text, templates, n, df):
+    """Cosines of a text to templates by dictionaries."""
+    def weigh(t):
+        c = Counter(license_scan.terms(t))
+        known = {w for x in templates.values() for w in license_scan.terms(x)}
+        idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 0.1 if w in known else 0.0
+        other = sum(k for w, k in c.items() if w not in known) * (math.log(1 + n) + 0.1) ** 2
+        v = {w: k * idf(w) for w, k in c.items() if w in known}
+        return v, math.sqrt(sum(x * x for x in v.values()) + other)
+
+    own, norm = weigh(text)
+    out = {}
+    for name, t in templates.items():
+        v, size = weigh(t)
+        out[name] = sum(x * own.get(w, 0) for w, x in v.items()) / (norm * size) if norm else 0.0
+    return out
+
+
+def test_full_licences_score_as_by_dictionaries(spark):
+    full = dict(list(license_scan.FULL.items())[:4])
+    docs = [*(t + " " + " ".join(words(k * 20, k)) for k, t in enumerate(full.values())), *(t[: len(t) // 2] for t in full.values()), " ".join(words(50, 9))]
+    df = Counter(w for t in docs for w in set(license_scan.terms(t)))
+    m = license_scan.Matcher(list(full.items()), len(docs), df, license_scan.WHOLE)
+    for t in docs:
+        want = plain_scores(t, full, len(docs), df)
+        name, score = m.best(t)
+        assert math.isclose(score, max(want.values()), rel_tol=1e-9, abs_tol=1e-12) and (score == 0 or math.isclose(want[name], score, rel_tol=1e-9))
+
+
 def test_extra_columns_and_repeated_rows(spark, some):
     clash = some.select("*", F.lit(1).alias("bucket"), F.lit(2).alias("component"), F.lit(3).alias("print"))
     twice = clash.union(clash)
