@@ -5,7 +5,8 @@ One pass over the corpus counts how often each term stands near each entity and
 how often it stands anywhere. The information that a term discloses about an
 entity is log2(P(entity near | term) / P(entity near)), and likewise about a
 kind; terms whose disclosure and posterior exceed thresholds are generalised
-along with the entities: near that entity, or near all of the kind.
+along with the entities: near that entity, or near all of the kind. Where nearly all
+uses of a term are near, the others disclose as much, and it is generalised wherever it stands.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ REACH = 4
 LEAST = 5
 #: Bits that a term must disclose, and the part of its uses that must be near the entity or kind.
 BITS, POSTERIOR = 6.0, 0.5
+#: The part of its uses near the entity or kind from which a term is generalised anywhere.
+ANYWHERE = 0.9
 #: Sums that a task holds before it hands them on; disclosing terms that are sent to every task, while more are joined.
 SUMS, SENT = 200_000, 100_000
 
@@ -117,7 +120,7 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def disclosed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind, term, entity and bits of what exceeds the thresholds: entity is null where a term gives away the kind, else the key of the one that it gives away.
+    """kind, term, entity, bits and posterior of what exceeds the thresholds: entity is null where a term gives away the kind, else the key of the one that it gives away.
 
     Counts cover every row and stay distributed: P(entity | term) is judged against P(entity), and P(kind | term) against P(kind).
     The support is LEAST uses near the entity, or LEAST different entities of the kind, however many other mentions there are.
@@ -158,17 +161,17 @@ def disclosed(docs: DataFrame, text: str = "text") -> DataFrame:
     uses = counted.where("kind is null and term is not null").select("term", F.col("n").alias("uses"))
     prior = F.least(F.lit(1.0), 2 * REACH * F.col("mentions") / F.col("words"))
     judged = one.union(many).join(uses, "term").crossJoin(total).withColumn("posterior", F.col("n") / F.greatest("uses", "n")).withColumn("bits", F.log2(F.col("posterior") / prior))
-    return judged.where((F.col("bits") >= BITS) & (F.col("posterior") >= POSTERIOR)).select("kind", "term", "entity", "bits")
+    return judged.where((F.col("bits") >= BITS) & (F.col("posterior") >= POSTERIOR)).select("kind", "term", "entity", "bits", "posterior")
 
 
 def disclosing(docs: DataFrame, text: str = "text") -> dict[str, dict] | DataFrame:
-    """What disclosed() finds: up to SENT rows as a dictionary for each kind, of bits by term or by term and entity; beyond, the frame itself."""
+    """What disclosed() finds: up to SENT rows as a dictionary for each kind, of bits and posterior by term or by term and entity; beyond, the frame itself."""
     found = cut(disclosed(docs, text))
     if found.limit(SENT + 1).count() > SENT:
         return found
     out: dict[str, dict] = {k: {} for k in KINDS}
     for r in found.collect():
-        out[r.kind][r.term if r.entity is None else (r.term, bytes(r.entity))] = r.bits
+        out[r.kind][r.term if r.entity is None else (r.term, bytes(r.entity))] = (r.bits, r.posterior)
     return out
 
 
@@ -176,10 +179,21 @@ def key(entity: str) -> bytes:
     return hashlib.blake2b(entity.encode("utf-8"), digest_size=12).digest()
 
 
-def all_spans(text: str, cues: dict[str, dict]) -> tuple[list, list]:
-    """Direct identifiers, and these with the terms that disclose a kind near entities of it, or an entity near that one."""
+def anywhere(cues: dict[str, dict]) -> frozenset[str]:
+    """Terms that are generalised wherever they stand."""
+    return frozenset(k if isinstance(k, str) else k[0] for own in cues.values() for k, (_, posterior) in own.items() if posterior >= ANYWHERE)
+
+
+def all_spans(text: str, cues: dict[str, dict], always: frozenset[str] = frozenset()) -> tuple[list, list]:
+    """Direct identifiers, and these with the terms that disclose a kind near entities of it, or an entity near that one, and with those that always go; no term overlaps an identifier."""
     base = base_spans(text)
     more = {("term", s, e) for kind, s, e, w, entity in near_terms(text, base) if w in cues[kind] or (w, key(entity)) in cues[kind]} if base and any(cues.values()) else set()
+    if always and not always.isdisjoint(map(term, set(text.split()))):
+        starts, reach = [x for _, x, _ in base], list(itertools.accumulate((y for _, _, y in base), max))
+        for m in _word.finditer(text):
+            k = bisect_left(starts, m.end())
+            if term(m[0]) in always and not (k and reach[k - 1] > m.start()):
+                more.add(("term", *m.span()))
     order = (*KINDS, "term")
     return base, sorted([*base, *more], key=lambda x: (x[1], order.index(x[0])))
 
@@ -189,18 +203,19 @@ def said(spans: list) -> str:
 
 
 def by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of found that each different text needs, as a list by the text's digest."""
+    """The rows of found that each different text needs, as a list by the text's digest; kind is null for terms that always go."""
 
     @tidied
     def near(batches):
         for batch in batches:
-            rows = [(d, *x) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in {(kind, w, key(entity)) for kind, _, _, w, entity in near_terms(t, base_spans(t))}]
+            rows = [(d, *x) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in {(kind, w, key(entity)) for kind, _, _, w, entity in near_terms(t, base_spans(t))} | {(None, w, None) for w in set(map(term, t.split())) if w}]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.binary()))], ["digest", "kind", "term", "entity"])
 
     each = texts.mapInArrow(near, "digest string, kind string, term string, entity binary").distinct()
     one = each.join(found.where("entity is not null").select("kind", "term", "entity"), ["kind", "term", "entity"], "left_semi").select("digest", "kind", "term", "entity")
     many = each.join(found.where("entity is null").select("kind", "term"), ["kind", "term"], "left_semi").select("digest", "kind", "term", F.lit(None).cast("binary").alias("entity"))
-    return one.union(many).groupBy("digest").agg(F.collect_set(F.struct("kind", "term", "entity")).alias("cues"))
+    always = each.where("kind is null").join(found.where(F.col("posterior") >= ANYWHERE).select("term").distinct(), "term", "left_semi").select("digest", "kind", "term", "entity")
+    return one.union(many).union(always).groupBy("digest").agg(F.collect_set(F.struct("kind", "term", "entity")).alias("cues"))
 
 
 def sanitise(docs: DataFrame, cues: dict[str, dict] | DataFrame, text: str = "text") -> DataFrame:
@@ -217,17 +232,21 @@ def sanitise(docs: DataFrame, cues: dict[str, dict] | DataFrame, text: str = "te
 
     @tidied
     def run(batches):
+        always = frozenset() if joined else anywhere(sent.value)
         for batch in batches:
             columns: list[list] = [[] for _ in range(len(KINDS) + 3)]
             lists = batch.column(len(keep) + 1).to_pylist() if joined else itertools.repeat(None)
             for t, own in zip(batch.column(len(keep)).to_pylist(), lists):
                 if joined:
                     known: dict[str, dict] = {k: {} for k in KINDS}
+                    always = frozenset(x["term"] for x in own or () if x["kind"] is None)
                     for x in own or ():
+                        if x["kind"] is None:
+                            continue
                         known[x["kind"]][x["term"] if x["entity"] is None else (x["term"], x["entity"])] = True
                 else:
                     known = sent.value
-                base, spans = all_spans(t or "", known)
+                base, spans = all_spans(t or "", known, always)
                 n = Counter(k for k, _, _ in base)
                 for c, v in zip(columns, [*(n[k] for k in KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(spans), None if t is None else replaced(t, spans)], strict=True):
                     c.append(v)

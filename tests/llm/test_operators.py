@@ -288,6 +288,43 @@ def test_decontamination_has_no_python(spark, some):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_base(text):
+    """The contract's patterns, one after the other."""
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in pattern.finditer(text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            double = [d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))]
+            fine = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and sum(double) % 10 == 0, "phone": 9 <= len(digits) <= 15}
+            if fine[kind]:
+                out.append((m.start(), rank, m.end(), kind))
+    return [(kind, a, b) for a, _, b, kind in sorted(out)]
+
+
+def test_identifiers_are_the_patterns_matches(spark):
+    r = np.random.default_rng(6)
+    good = ["4111 1111 1111 1111", "5500-0000-0000-0004", "10.0.0.1", "999.1.2.3", "+1 (212) 555-0100", "+49.30.1234567", "a.b@c.de", "00012"]
+    texts = ["", "é+1 (212) 555-0100 日本 10.2.3.4"]
+    for _ in range(3000):
+        parts = [good[k] if k < len(good) else "".join(r.choice(list("0123456789+-. ()@ab"), r.integers(1, 18))) for k in r.integers(0, 2 * len(good), r.integers(1, 6))]
+        texts.append(str(r.choice(["", " ", ",", "x"])).join(parts))
+    for t in texts:
+        assert pii.base_spans(t) == plain_base(t), t
+    docs = spark.createDataFrame([*enumerate(texts[:400]), (5000, None)], "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.sanitise(docs, {k: {} for k in pii.KINDS}).collect()}
+    for k, t in [*enumerate(texts[:400]), (5000, "")]:
+        want = plain_base(t)
+        said = ",".join(f"{kind}:{a}:{b}" for kind, a, b in want)
+        n = Counter(kind for kind, _, _ in want)
+        assert (got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone, got[k].base_sha256, got[k].spans) == (n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(said.encode()).hexdigest(), said)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
@@ -323,8 +360,10 @@ def test_terms_that_give_away_one_entity(spark, monkeypatch):
         assert ("zebulon", pii.key("z.q@home.org")) in cues["email"] and "postbox" in cues["email"] and "zebulon" not in cues["email"]
         got = {r.doc_id: r for r in pii.sanitise(docs, cues).collect()}
         assert all("<term>" in got[k].sanitised and "Zebulon" not in got[k].sanitised for k in range(50)) and "<term> <email>" in got[50].sanitised
-    again = spark.createDataFrame([(1, "Zebulon wrote to other@else.org"), (2, None)], "doc_id long, text string")
-    assert {r.doc_id: r.sanitised for r in pii.sanitise(again, cues).collect()} == {1: "Zebulon wrote to <email>", 2: None}
+    again = spark.createDataFrame([(1, "Zebulon wrote to other@else.org"), (2, None), (3, "my Zebulon, is hidden"), (4, "nothing here")], "doc_id long, text string")
+    assert {r.doc_id: r.sanitised for r in pii.sanitise(again, cues).collect()} == {1: "<term> wrote to <email>", 2: None, 3: "my <term> is hidden", 4: "nothing here"}
+    seldom = {k: {w: (b, 0.6) for w, (b, _) in v.items()} for k, v in cues.items()}
+    assert {r.doc_id: r.sanitised for r in pii.sanitise(again, seldom).collect()}[1] == "Zebulon wrote to <email>"
     monkeypatch.setattr(pii, "SENT", 0)
     docs = spark.createDataFrame(ours + ours[:3] + [(None, None), (99, "")], "doc_id long, text string")
     cues = pii.disclosing(docs)
