@@ -22,6 +22,7 @@ ROUNDS = 12
 #: Trigrams overlap, so one letter is seen three times; the penalty is scaled for that.
 PENALTY = 3.0
 SMOOTH = 0.05
+PRIOR = 1.0
 UNKNOWN = "und"
 #: Part of a document's trigrams, none of which any learned language has, beyond which the pipeline rejects it.
 MOST_UNSEEN = 0.5
@@ -94,7 +95,7 @@ def mixture(counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray, float]:
-    """The chosen languages, largest first, their proportions, and the proportion of the first in the mixture of all languages."""
+    """The chosen languages, largest first, their proportions, and the posterior mean of the first one's proportion in the mixture of all languages."""
     singles = counts @ logp
     chosen = [int(singles.argmax())]
     share, now, full = np.ones(1), float(singles.max()), np.ones(1)
@@ -108,14 +109,15 @@ def infer(counts: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray,
             if ll - now > penalty:
                 chosen, share, now = [*chosen, int(k)], more, ll
     order = np.argsort(-share, kind="stable")
-    return [chosen[i] for i in order], share[order], float(full[chosen[order[0]]])
+    n = counts.sum()
+    return [chosen[i] for i in order], share[order], float((full[chosen[order[0]]] * n + PRIOR) / (n + PRIOR * len(full)))
 
 
 def identify(docs: DataFrame, model: tuple, text: str = "text", keep: bool = False) -> DataFrame:
     """Adds lang_pred, score, languages (name and proportion of each chosen language) and unseen to the other columns, and to the text if it is kept.
 
-    score is the proportion of lang_pred in the mixture of all languages, before the penalty
-    leaves any out; unseen is the part of the trigrams that no language was learned with.
+    score is the expected proportion of lang_pred in the mixture of all languages, before the penalty
+    leaves any out and with PRIOR trigrams of each language added, so that short texts are less sure; unseen is the part of the trigrams that no language was learned with.
     A null text or one without letters gives `und`, score 0, no languages and no value of unseen;
     a model without languages `und`, 0, none and 1. Each row is judged alone, repeated rows alike.
     The whole text is read. Columns of these names in docs are replaced.

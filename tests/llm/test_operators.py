@@ -283,6 +283,14 @@ def test_items_are_found_as_without_seeds(spark):
     assert {(x.doc_id, x.item_id): x.n_matched for x in got.collect()} == plain_find(texts, items)
 
 
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Lone"), (3, "one two three four five six seven eight"), (4, ""), (5, "...")], "item_id long, text string")
+    texts = ["x Alpha, beta GAMMA y", "alpha beta x gamma", "gamma", "a lone word", "one two three four five six seven eight", "one two three four five six seven", None, "", "beta gamma"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.share) for r in decontaminate.find(docs, bench).collect()}
+    assert got == {(0, 1): (3, 1.0), (3, 2): (1, 1.0), (4, 3): (8, 1.0)}
+
+
 def test_decontamination_has_no_python(spark, some):
     plan = decontaminate.find(some, spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -402,6 +410,42 @@ def test_languages(spark, some, hard, empty):
     both = langid.identify(spark.createDataFrame([(1, half)], "doc_id long, text string"), model).first()
     assert {k.lang for k in both.languages} == {"fr", "de"}
     assert {r.doc_id for r in langid.keep_known(some).collect()} == {r.doc_id for r in some.collect()}
+    # a script that no language was learned with is rejected; without any language every text with a letter stays
+    odd = spark.createDataFrame([(1, "日本語の文章です", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
+    kept = langid.keep_known(some.select("doc_id", "text", "lang").union(odd))
+    assert kept.where("text = '日本語の文章です'").count() == 0 and kept.count() == some.count()
+    assert [r.doc_id for r in langid.keep_known(odd).collect()] == [1]
+    scores = [r.score for r in langid.identify(some, model).collect()]
+    assert len({round(x, 6) for x in scores}) > len(scores) / 2 and both.score < 0.9
+
+
+def plain_mixture(texts, model, rounds):
+    """Expectation-maximisation over single trigrams, without sums by slot."""
+    names, slots, logp = model
+    at = {s: k for k, s in enumerate(slots.tolist())}
+    for t in texts:
+        p = [[math.exp(x) for x in logp[at.get(g, len(slots))]] for g in langid.trigrams(t).tolist()]
+        share = [1 / len(names)] * len(names)
+        for _ in range(rounds):
+            sums = [0.0] * len(names)
+            for row in p:
+                own = [s * x for s, x in zip(share, row, strict=True)]
+                for k, x in enumerate(own):
+                    sums[k] += x / sum(own)
+            share = [x / len(p) for x in sums]
+        yield share
+
+
+def test_mixtures_are_the_plain_ones(spark, some):
+    model = langid.fit(some)
+    texts = [r.text[:300] for r in some.where("text is not null").limit(12).collect()]
+    names, slots, logp = model
+    for t, want in zip(texts, plain_mixture(texts, model, langid.ROUNDS), strict=True):
+        where = np.searchsorted(slots, langid.trigrams(t))
+        where[(where >= len(slots)) | (slots[np.minimum(where, len(slots) - 1)] != langid.trigrams(t))] = len(slots)
+        seen, n = np.unique(where, return_counts=True)
+        got, _ = langid.mixture(n.astype(float), logp[seen])
+        assert np.allclose(got, want, atol=1e-6)
 
 
 def test_toxicity(spark, hard, empty):
