@@ -22,6 +22,9 @@ def crc_table(polynomial: int = CASTAGNOLI) -> np.ndarray:
 
 
 _table = crc_table()
+_entries = _table.tolist()
+#: Bytes from which a checksum is worked out in lanes.
+LANES_FROM = 1024
 
 
 @lru_cache(maxsize=64)
@@ -43,10 +46,13 @@ def shifted(columns: tuple[int, ...], state):
 
 
 def crc32c(data: bytes) -> int:
-    """Lanes of the data are summed side by side and put together by halves: zeros before the data change nothing."""
+    """Lanes of longer data are summed side by side and put together by halves: zeros before the data change nothing."""
     n = len(data)
-    if not n:
-        return 0
+    if n < LANES_FROM:
+        c = 0xFFFFFFFF
+        for b in data:
+            c = _entries[(c ^ b) & 255] ^ (c >> 8)
+        return c ^ 0xFFFFFFFF
     lanes = 1 << max(0, n.bit_length() // 2)
     width = -(-n // lanes)
     m = np.zeros(lanes * width, np.uint8)

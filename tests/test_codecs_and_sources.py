@@ -44,7 +44,7 @@ def test_varints_refuse_cut_off_numbers():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000))
+@given(st.binary(max_size=3000) | st.binary(min_size=1000, max_size=5000))
 def test_crc32c_is_the_bytewise_one(data):
     assert codecs.crc32c(data) == int(codecs.crc32c_many([data])[0])
 
