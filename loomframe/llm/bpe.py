@@ -22,9 +22,9 @@ from loomframe.llm.common import table, tidied
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of one matrix, and pieces and chunks that a worker remembers, at most.
-CELLS, REMEMBERED = 2_000_000, 200_000
+CELLS, REMEMBERED = 2_000_000, 100_000
 #: Characters of the documents encoded together, at least one document.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 
 
 class PairTable:

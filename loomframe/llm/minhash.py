@@ -274,7 +274,7 @@ def candidates(reps: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
 
     links = cut(compared(F.slice("first", 1, FIRST), None))
     rest = F.slice("first", FIRST + 1, LISTS - FIRST)
-    return links.union(compared(rest, components(links)))
+    return cut(links.union(compared(rest, components(links))))
 
 
 def confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = reps.select("print", F.col("doc_id").alias("rep"))
     again = repeated(known)
     groups = components(candidates(reps, drawn, percent)).withColumnRenamed("id", "doc_id")
-    links = confirm(groups, docs, percent)
+    links = cut(confirm(groups, docs, percent))
     if again:
         links = links.union(known.select("doc_id", "print").join(again, "doc_id").join(classes, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(links)

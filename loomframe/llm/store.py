@@ -32,7 +32,7 @@ from loomframe.llm.common import by_key, cut, drop_scratch, partitions, scratch,
 SPANS, LEAST, MOST, MASK = (1, 2, 4, 8), 64, 2048, np.uint32(0xFF << 16)
 DIGEST = 16
 #: Words that a worker remembers, characters encoded together (at least one document), words of one text that the library gets.
-REMEMBERED, TOGETHER, LINE = 300_000, 4_000_000, 500
+REMEMBERED, TOGETHER, LINE = 300_000, 2_000_000, 500
 #: A word that starts a line or a text or neither: letters, and marks behind them. Code points from U+0500 on aren't sure to be classed alike by all libraries.
 SHAPE = r"^(?P<mark>[\n\r]?)(?P<head>\p{L}+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 UNSURE = r"[^\x{0}-\x{4FF}]"
