@@ -184,11 +184,11 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def by_key(df: DataFrame, key: str, f: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Deals rows by key and hands each task its groups one after the other."""
+def by_key(df: DataFrame, key: str, f: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str, dealt: str | None = None) -> DataFrame:
+    """Deals rows by key, or by a column that depends on the key alone, and hands each task its groups one after the other."""
 
     @tidied
     def run(batches):
         yield from f(groups(batches, key))
 
-    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(partitions(df.sparkSession), dealt or key).sortWithinPartitions(key).mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import shutil
+import time
 import zlib
 from collections import Counter
 
@@ -398,6 +399,75 @@ def test_vectors_are_linked_as_by_brute_force(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def shared_windows(q, o, half):
+    """Plain count of the projections on which the other is in the query's window."""
+    return sum(((o[:, j] >= q[:, j, None] - half) & (o[:, j] <= q[:, j, None] + half)).astype(np.uint8) for j in range(q.shape[1]))
+
+
+@pytest.mark.parametrize("others", [1, 63, 64, 200, 1500])
+def test_windows_hold_all_that_plain_counting_finds(others):
+    r = np.random.default_rng(others)
+    o, q = 0.125 * r.standard_normal((others, 32)), 0.125 * r.standard_normal((301, 32))
+    q[:40] = o[r.integers(0, others, 40)] + 0.03 * r.standard_normal((40, 32))
+    q[40:60], q[60:70] = np.round(q[40:60], 1), 9.0  # ties, and queries beyond all others
+    o[::7] = np.round(o[::7], 1)
+    count, rounded = shared_windows(q, o, 0.1), shared_windows(q, o, 0.1 + 1e-8)
+    windows = embeddings.Windows(o, 0.1)
+    for least in (1, 12, 16, 20, 31, 32):
+        found = np.zeros_like(count, bool)
+        for x, y in windows.colliding(q, least):
+            assert not found[x, y].any()
+            found[x, y] = True
+        assert found[count >= least].all() and not found[60:70].any()
+        assert others > embeddings.CELLS or (rounded[found] >= least).all()  # a cell for each: nothing else comes through
+
+
+def test_windows_are_faster_than_plain_counting():
+    r = np.random.default_rng(3)
+    v = embeddings.unit(r.standard_normal((6144, 64)))
+    v[:200] = embeddings.unit(v[4096:4296] + 0.05 * r.standard_normal((200, 64)))
+    p, half, least = v @ embeddings.directions(64).T, embeddings.WIDE * embeddings.deviation(0.9, 64), embeddings.least_count()
+    left, right = np.arange(2048), np.arange(2048, 6144)
+    began = time.perf_counter()
+    got = {(k, m) for x, y in embeddings.near(v, p, left, right, embeddings.Windows(p[right], half), embeddings.heads_of(v), 0.9, half, least) for k, m in zip(x.tolist(), y.tolist())}
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    x, y = np.nonzero(shared_windows(p[left], p[right], half) >= least)
+    plain = time.perf_counter() - began
+    x, y = left[x], right[y]
+    on = np.einsum("ij,ij->i", v[x], v[y]) >= 0.9
+    assert got == set(zip(x[on].tolist(), y[on].tolist())) and len(got) >= 190
+    assert took < plain / 3
+
+
+def test_vectors_in_many_bands(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ROWS", 25)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((600, 24))
+    x[300:] = x[r.integers(0, 300, 300)] + 0.1 * r.standard_normal((300, 24))
+    x[:100] = x[:100].astype(np.float32)  # travel in single precision
+    x = np.concatenate((x, x[:3], 2 * x[3:6]))
+    y = r.standard_normal((80, 5))
+    table = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(y)]
+    got = {q.vec_id: q for q in embeddings.links(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(7)).collect()}
+    for v, start in ((x, 0), (y, 1000)):
+        u = embeddings.unit(v)
+        p = u @ embeddings.directions(v.shape[1]).T
+        half = embeddings.WIDE * embeddings.deviation(0.9, v.shape[1])
+        on = (u @ u.T >= 0.9) & ((shared_windows(p, p, half) >= embeddings.least_count()) | (v[:, None] == v[None]).all(2))
+        np.fill_diagonal(on, False)
+        assert [got[start + k].n_links for k in range(len(v))] == on.sum(1).tolist()
+        top = np.arange(len(v))
+        while (less := np.minimum(top, np.where(on, top[None], len(v)).min(1))).tolist() != top.tolist():
+            top = less
+        assert [got[start + k].component_id for k in range(len(v))] == (start + top).tolist()
+    assert embeddings.band_width(38, 12) == 4 and embeddings.band_width(1, 200) == 1
+    for parts in (1, 7, 12):
+        keys = embeddings.keys_of(spark, parts)
+        dealt = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(parts, "k").select(F.spark_partition_id().alias("p"), "k").collect()
+        assert [k for _, k in sorted(map(tuple, dealt))] == keys.tolist()
+
+
 def test_languages(spark, some, hard, empty):
     got = registry.QUERIES["op10_language_id"](spark, SF).join(some.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
