@@ -19,6 +19,7 @@ pairs that are near enough are counted once more without cells.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,17 +65,22 @@ def least_count() -> int:
     return k
 
 
+def in_order(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of each projection's points, in ascending order."""
+    lines = np.ascontiguousarray(points.T)
+    order = np.argsort(lines, axis=1)
+    return order.astype(np.int32), np.take_along_axis(lines, order, 1)
+
+
 class Windows:
-    """The others in a query's window on each projection, to whole cells, as rows of bits."""
+    """The others in a query's window on each projection, to whole cells, as rows of bits. Queries and others come in order."""
 
-    def __init__(self, others: np.ndarray, width: float):
-        m = len(others)
+    def __init__(self, others: tuple[np.ndarray, np.ndarray], width: float):
+        m = others[0].shape[1]
         self.words = -(-m // 64)
         step = -(-m // CELLS)
         self.rows = []
-        for line in np.ascontiguousarray(others.T):
-            order = np.argsort(line)
-            line = line[order]
+        for order, line in zip(*others, strict=True):
             cell = np.empty(m, np.intp)
             cell[order] = np.arange(m) // step
             cells = cell[order[-1]] + 1
@@ -91,13 +97,16 @@ class Windows:
             rows = below[np.searchsorted(enter, start, "right")] ^ below[np.searchsorted(leave, start, "right")]
             self.rows.append((edges, rows.view(np.uint64)))
 
-    def colliding(self, queries: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def colliding(self, queries: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of queries and of others that share at least so many (1 or more) windows."""
-        at = [np.searchsorted(edges, line, "right") for (edges, _), line in zip(self.rows, np.ascontiguousarray(queries.T), strict=True)]
+        n_queries = queries[0].shape[1]
+        at = np.empty(queries[0].shape, np.intp)
+        for k, order, line, (edges, _) in zip(at, *queries, self.rows, strict=True):
+            k[order] = np.repeat(np.arange(len(edges) + 1), np.diff(np.searchsorted(line, edges, "left"), prepend=0, append=n_queries))
         tile = max(1, TILE // self.words)
-        adder = Adder((min(tile, len(queries)), self.words), least)
-        for a in range(0, len(queries), tile):
-            n = min(tile, len(queries) - a)
+        adder = Adder((min(tile, n_queries), self.words), least)
+        for a in range(0, n_queries, tile):
+            n = min(tile, n_queries - a)
             if n < adder.shape[0]:
                 adder = Adder((n, self.words), least)
             for (_, rows), k in zip(self.rows, at, strict=True):
@@ -163,10 +172,10 @@ class Adder:
         return out
 
 
-def near(v: np.ndarray, p: np.ndarray, left: np.ndarray, right: np.ndarray, windows: Windows, heads: np.ndarray, threshold: float, width: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of left and right that share at least so many windows and whose cosine reaches the threshold; windows are those of right."""
+def near(v: np.ndarray, p: np.ndarray, left: np.ndarray, right: np.ndarray, queries: tuple[np.ndarray, np.ndarray], windows: Windows, heads: np.ndarray, threshold: float, width: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of left and right that share at least so many windows and whose cosine reaches the threshold; queries are left's points in order, windows those of right."""
     ours, theirs = heads[left], heads[right]
-    for x, y in windows.colliding(p[left], least):
+    for x, y in windows.colliding(queries, least):
         for c in range(0, len(x), 32_768):
             k, m = x[c : c + 32_768], y[c : c + 32_768]
             able = np.einsum("ij,ij->i", ours[k], theirs[m]) >= threshold - 1e-4
@@ -196,75 +205,34 @@ def band_width(blocks: int, parts: int) -> int:
     return max(1, min(BAND, round(blocks / (math.isqrt(2 * parts) + 2))))
 
 
-def reached(self) -> np.ndarray:
-        """Bits of the places whose sum is at least the least, to be read before the next row is added; the sums start anew."""
-        out, k = None, 0
-        while k < len(self.levels) or self.least >> k:
-            rows = self.levels[k] if k < len(self.levels) else []
-            if len(rows) == 2:
-                both = np.bitwise_and(*rows, out=self.room())
-                rows[0] ^= rows[1]
-                self.free.append(rows.pop())
-                self.add(both, k + 1)
-            if not rows:
-                rows.append(self.room())
-                rows[0].fill(0)
-            # out: where the digits so far reach those of the least; None while these are zero
-            if out is None:
-                out = rows[0] if self.least >> k & 1 else None
-            elif self.least >> k & 1:
-                out &= rows[0]
-            else:
-                out |= rows[0]
-            k += 1
-        self.free += [row for rows in self.levels for row in rows]
-        self.levels = [[]]
-        return out
-
-
-def near(v: np.ndarray, p: np.ndarray, left: np.ndarray, right: np.ndarray, windows: Windows, heads: np.ndarray, threshold: float, width: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of left and right that share at least so many windows and whose cosine reaches the threshold; windows are those of right."""
-    ours, theirs = heads[left], heads[right]
-    for x, y in windows.colliding(p[left], least):
-        for c in range(0, len(x), 32_768):
-            k, m = x[c : c + 32_768], y[c : c + 32_768]
-            able = np.einsum("ij,ij->i", ours[k], theirs[m]) >= threshold - 1e-4
-            k, m = left[k[able]], right[m[able]]
-            keep = (np.einsum("ij,ij->i", v[k], v[m]) >= threshold) & (k != m)
-            k, m = k[keep], m[keep]
-            keep = ((p[m] >= p[k] - width) & (p[m] <= p[k] + width)).sum(1) >= least
-            yield k[keep], m[keep]
-
-
-def heads_of(v: np.ndarray) -> np.ndarray:
-    """The first parts of unit vectors and the length of the rest: their product is no less than the cosine (but for single precision)."""
-    few = v[:, : HEAD - 1]
-    return np.column_stack((few, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", few, few))))).astype(np.float32)
-
-
-def blocks_of(classes: DataFrame, n: int, spark: SparkSession) -> np.ndarray:
-    """Values of the first projection between blocks of about as many classes."""
-    few = math.isqrt(2 * UNITS * partitions(spark))
-    blocks = max(-(-n // ROWS), min(few, -(-n // 1024)))
-    found = classes.select(F.percentile_approx("first", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))).first()[0] if blocks > 1 else []
-    return np.unique(np.array(found, np.float64))
-
-
-def band_width(blocks: int, parts: int) -> int:
-    """Blocks of a band: BAND, or fewer where there would be too few pairs of bands for all partitions."""
-    return max(1, min(BAND, round(blocks / (math.isqrt(2 * parts) + 2))))
-
-
-def pairs_of(bands: int) -> int:
-    return bands * (bands + 1) // 2
-
-
 def reach(edges: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
     """For each block the first and the last block whose ranges come within reach of its own."""
     low, high = np.append(-np.inf, edges), np.append(edges, np.inf)
     return np.searchsorted(edges, low - far, "left"), np.searchsorted(edges, high + far, "right")
 
 
+def work_of(start: np.ndarray, end: np.ndarray, wide: int, bands: int) -> np.ndarray:
+    """Pairs of blocks within reach in every pair of bands, by the pair's number."""
+    own = np.arange(len(start))
+    out = []
+    for apart in range(bands):
+        # for each block the part of its reach in the band that is so far above its own
+        first = (own // wide + apart) * wide
+        many = np.minimum(end, first + wide - 1) - np.maximum(np.maximum(start, own), first) + 1
+        out.append(np.bincount(own // wide, np.maximum(many, 0), bands).astype(np.int64)[: bands - apart])
+    return np.concatenate(out)
+
+
+def evenly(work: np.ndarray, parts: int) -> np.ndarray:
+    """A partition for each piece of work: the largest pieces first, each to the partition with the least so far."""
+    heap = [(0, p) for p in range(parts)]
+    out = np.zeros(len(work), np.int64)
+    for k in np.argsort(-work, kind="stable").tolist():
+        sofar, out[k] = heap[0]
+        heapq.heapreplace(heap, (sofar + int(work[k]), int(out[k])))
+    return out
+
+
 def keys_of(spark: SparkSession, parts: int) -> np.ndarray:
     """For each of so many partitions a key that Spark deals to it."""
     many = int(parts * (math.log(parts) + 12))
@@ -329,13 +297,16 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     if not edges:
         return ready.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     parts = partitions(spark)
-    keys, bands, before = keys_of(spark, parts), {}, {}
+    bands, before, work = {}, {}, [np.zeros(0, np.int64)]
     for dim, e in edges.items():
-        before[dim] = sum(n * (n + 1) // 2 for _, n in bands.values())
+        before[dim] = sum(map(len, work))
         wide = band_width(len(e) + 1, parts)
         bands[dim] = wide, -(-(len(e) + 1) // wide)
+        work.append(work_of(*reach(e, FAR * deviation(threshold, dim)), *bands[dim]))
+    keys = keys_of(spark, parts)[evenly(np.concatenate(work), parts)]
     # a few numbers for each block go to all tasks, outside the plan
     sent = spark.sparkContext.broadcast({dim: (e, FAR * deviation(threshold, dim), *bands[dim], before[dim]) for dim, e in edges.items()})
+    sent_keys = spark.sparkContext.broadcast(keys)
 
     def meet(batches):
         """Each row with every pair of bands that its own is in."""
@@ -351,12 +322,12 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 at = np.repeat(np.arange(len(rows)), many)
                 them, mine = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many), own[at] // wide
                 i, j = np.minimum(mine, them), np.maximum(mine, them)
-                # pairs of bands, those of one distance after the other, are dealt out in turn
+                # pairs of bands are numbered by their distance, then by the first
                 number = gone + (j - i) * n - (j - i) * (j - i - 1) // 2 + i
                 for a in range(0, len(at), 20_000):
                     some = slice(a, a + 20_000)
                     t = batch.take(pa.array(rows[at[some]]))
-                    yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (0, 1, 2, 4)), *(pa.array(x[some].astype(np.int32)) for x in (own[at], i, j)), pa.array(number[some]), pa.array(keys[number[some] % parts])], ["rep", "size", "dim", "vector", "block", "i", "j", "unit", "dealt"])
+                    yield pa.RecordBatch.from_arrays([*(t.column(c) for c in (0, 1, 2, 4)), *(pa.array(x[some].astype(np.int32)) for x in (own[at], i, j)), pa.array(number[some]), pa.array(sent_keys.value[number[some]])], ["rep", "size", "dim", "vector", "block", "i", "j", "unit", "dealt"])
 
     units = classes.select("rep", "size", "dim", "first", "vector").mapInArrow(meet, "rep long, size long, dim int, vector binary, block int, i int, j int, unit long, dealt long")
     least = least_count()
@@ -371,15 +342,16 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             v = unit(unpack(t.column("vector"), dim))
             p, heads, width = v @ directions(dim).T, heads_of(v), WIDE * deviation(threshold, dim)
             at = {b: np.flatnonzero(block == b) for b in np.unique(block).tolist()}
+            lines = {b: in_order(p[rows]) for b, rows in at.items()}
             forest, got, pairs = Forest(), np.zeros(len(rep), np.int64), []
             for b in at:
                 if b // wide != j:
                     continue
-                others = Windows(p[at[b]], width)
+                others = Windows(lines[b], width)
                 for a in at:
                     if a // wide != i or a > b or not start[a] <= b <= end[a]:
                         continue
-                    for k, m in near(v, p, at[a], at[b], others, heads, threshold, width, least):
+                    for k, m in near(v, p, at[a], at[b], lines[a], others, heads, threshold, width, least):
                         for one, two in ((k, m),) if a == b else ((k, m), (m, k)):
                             np.add.at(got, one, size[two])
                         pairs += [(int(rep[s]), int(rep[d])) for s, d in zip(k.tolist(), m.tolist(), strict=True) if forest.join(s, d)]

@@ -412,10 +412,10 @@ def test_windows_hold_all_that_plain_counting_finds(others):
     q[40:60], q[60:70] = np.round(q[40:60], 1), 9.0  # ties, and queries beyond all others
     o[::7] = np.round(o[::7], 1)
     count, rounded = shared_windows(q, o, 0.1), shared_windows(q, o, 0.1 + 1e-8)
-    windows = embeddings.Windows(o, 0.1)
+    windows, queries = embeddings.Windows(embeddings.in_order(o), 0.1), embeddings.in_order(q)
     for least in (1, 12, 16, 20, 31, 32):
         found = np.zeros_like(count, bool)
-        for x, y in windows.colliding(q, least):
+        for x, y in windows.colliding(queries, least):
             assert not found[x, y].any()
             found[x, y] = True
         assert found[count >= least].all() and not found[60:70].any()
@@ -429,7 +429,8 @@ def test_windows_are_faster_than_plain_counting():
     p, half, least = v @ embeddings.directions(64).T, embeddings.WIDE * embeddings.deviation(0.9, 64), embeddings.least_count()
     left, right = np.arange(2048), np.arange(2048, 6144)
     began = time.perf_counter()
-    got = {(k, m) for x, y in embeddings.near(v, p, left, right, embeddings.Windows(p[right], half), embeddings.heads_of(v), 0.9, half, least) for k, m in zip(x.tolist(), y.tolist())}
+    lines, windows = embeddings.in_order(p[left]), embeddings.Windows(embeddings.in_order(p[right]), half)
+    got = {(k, m) for x, y in embeddings.near(v, p, left, right, lines, windows, embeddings.heads_of(v), 0.9, half, least) for k, m in zip(x.tolist(), y.tolist())}
     took = time.perf_counter() - began
     began = time.perf_counter()
     x, y = np.nonzero(shared_windows(p[left], p[right], half) >= least)
@@ -462,6 +463,10 @@ def test_vectors_in_many_bands(spark, monkeypatch):
             top = less
         assert [got[start + k].component_id for k in range(len(v))] == (start + top).tolist()
     assert embeddings.band_width(38, 12) == 4 and embeddings.band_width(1, 200) == 1
+    start, end = embeddings.reach(np.arange(9.0), 1.5)
+    want = [sum(start[a] <= b <= end[a] for a in range(10) for b in range(a, 10) if (a // 4, b // 4) == (i, i + d)) for d in range(3) for i in range(3 - d)]
+    assert embeddings.work_of(start, end, 4, 3).tolist() == want and want[-1] == 0
+    assert np.bincount(embeddings.evenly(np.array([3, 9, 3, 3, 0, 9]), 3), [3, 9, 3, 3, 0, 9]).tolist() == [9, 9, 9]
     for parts in (1, 7, 12):
         keys = embeddings.keys_of(spark, parts)
         dealt = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(parts, "k").select(F.spark_partition_id().alias("p"), "k").collect()
